@@ -4,13 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontamination, sharding, simhash
+from tidefold.llm import decontamination, packing, quality_rules, sharding, simhash, toxicity
 from tidefold.sources import table
 
 
+def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
+
+
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).select(F.col("key").alias("doc_id"), F.crc32(F.col("key").cast("string").cast("binary")).alias("c"), "score").select(
+        "doc_id", (F.col("c") % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -24,6 +39,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op5_rule_bitmask_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    failed = F.col("failed").bitwiseAND(quality_rules.POLICIES["base"]) != 0
+    return ledger.select(
+        F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), quality_rules.kept("v1").alias("kept"), F.col("failed").alias("failed_rules")
+    )
+
+
 def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     data = F.coalesce("text", F.lit("")).cast("binary")
@@ -44,8 +67,18 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_benchmark_decontamination, op6_hypergeometric_sharding, op9_simhash_near_duplicates)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_hierarchical_packing,
+            op3_counterfactual_toxicity,
+            op4_benchmark_decontamination,
+            op5_rule_bitmask_ledger,
+            op6_hypergeometric_sharding,
+            op9_simhash_near_duplicates,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_rule_bitmask_ledger": quality_rules.ORACLE_SQL}

@@ -14,7 +14,7 @@ from pyspark.sql.types import LongType, StructType
 from tidefold.sources.checkpoints import checkpointed
 
 #: Rows of a shard that one task orders; larger shards consist of several such blocks.
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 14
 #: numpy draws hypergeometric numbers exactly for populations below this.
 _NUMPY_LIMIT = 1_000_000_000
 
