@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontamination, packing, quality_rules, sharding, simhash, toxicity
+from tidefold.llm import decontamination, packing, pfp_dedup, quality_rules, sharding, simhash, toxicity
 from tidefold.sources import table
 
 
@@ -66,6 +66,12 @@ def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_prefix_free_parsing_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pfp_dedup.repeated_substrings(table(spark, sf_dir, "documents"))
+    size = F.octet_length("text").cast("bigint")
+    return cut.select(F.col("key").alias("doc_id"), size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("starts").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_rule_bitmask_ledger,
             op6_hypergeometric_sharding,
             op9_simhash_near_duplicates,
+            op10_prefix_free_parsing_dedup,
         )
     }
 
