@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import decontamination, packing, pfp_dedup, quality_rules, sharding, simhash, toxicity
+from tidefold.llm import cotraining, decontamination, packing, pfp_dedup, quality_rules, sharding, simhash, toxicity
 from tidefold.sources import table
 
 
@@ -61,6 +61,12 @@ def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).select(F.col("key").alias("doc_id"), "score", "p_content", "p_metadata", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_benchmark_decontamination,
             op5_rule_bitmask_ledger,
             op6_hypergeometric_sharding,
+            op8_cotraining_quality,
             op9_simhash_near_duplicates,
             op10_prefix_free_parsing_dedup,
         )
