@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefold.llm import cotraining, decontamination, packing, pfp_dedup, quality_rules, sharding, simhash, toxicity
+from tidefold.llm import cotraining, decontamination, license_scan, line_dedup, packing, pfp_dedup, quality_rules, sharding, simhash, toxicity
 from tidefold.sources import table
 
 
@@ -17,6 +17,19 @@ def op1_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(F.col("key").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = license_scan.licences(docs, license_scan.train(docs))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        "paragraphs",
+        F.size("found").cast("bigint").alias("licensed_paragraphs"),
+        F.array_join(F.array_sort(F.array_distinct("found.family")), ",").alias("families"),
+        F.array_max("found.probability").alias("probability"),
+        F.array_max("found.similarity").alias("similarity"),
+    )
+
+
 def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -61,6 +74,17 @@ def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"),
+        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
+        F.size("exact").cast("bigint").alias("n_equal"),
+        F.size("near").cast("bigint").alias("n_near"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = cotraining.train(docs, table(spark, sf_dir, "labels"))
@@ -83,10 +107,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_hierarchical_packing,
+            op2_license_scan,
             op3_counterfactual_toxicity,
             op4_benchmark_decontamination,
             op5_rule_bitmask_ledger,
             op6_hypergeometric_sharding,
+            op7_segment_line_dedup,
             op8_cotraining_quality,
             op9_simhash_near_duplicates,
             op10_prefix_free_parsing_dedup,
