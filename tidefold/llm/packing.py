@@ -98,6 +98,16 @@ class Encoder:
         self.cache.update({w: self.cache[stem] + tail[w[len(stem) :]] for w, stem in stems.items()})
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a file: tasks that follow each other in a worker share its cache."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 Piece = tuple[int, int, int]  # document, first token, tokens
 
 
@@ -211,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(tokenizer), Packer(tiers)
+        encode, packer = encoder(tokenizer).encode, Packer(tiers)
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 33
         data: dict[int, tuple[object, bytes]] = {}
@@ -239,7 +249,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         for b in slices(batches, _BLOCK_BYTES, "text"):
             key_type = b.schema.field("key").type
             windows = []
-            for name, ids in zip(b.column("key").to_pylist(), encoder.encode(b.column("text").to_pylist()), strict=True):
+            for name, ids in zip(b.column("key").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
                 data[number] = (name, ids + eos)
                 windows += packer.add(number, len(ids) // 4 + 1)
                 number += 1
