@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidefold.llm.common import slices, text_of
 from tidefold.llm.linear import Sparse, fit, platt, sigmoid, telling
@@ -161,3 +162,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return _read(docs, key, text, model.columns).mapInArrow(run, f"key {kind}, score double, p_content double, p_metadata double")
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
+    """`docs` with all its columns and the combined score in `into` (an input column of that name is replaced)."""
+    rest = docs.drop(into)
+    meta = F.struct(*[rest[c].alias(c) for c in model.columns]) if model.columns else F.struct(F.lit(None).cast("string").alias("none"))
+    carried = rest.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4 << 20, "_ct_text"):
+            one = np.array([model.content(content_features(t)) for t in b.column("_ct_text").to_pylist()])
+            two = np.array([model.metadata(metadata_features(m)) for m in b.column("_ct_meta").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(sigmoid(one + two - model.prior))], [*carried, into])
+
+    schema = StructType([*rest.schema, StructField(into, DoubleType())])
+    return rest.select("*", text_of(rest, text).alias("_ct_text"), meta.alias("_ct_meta")).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -151,3 +152,47 @@ def _joined(found: tuple, starts: list[int], ends: list[int], items: list[str])
         else:
             spans.append([s, e])
     return n, [s for s, _ in spans], [e for _, e in spans], list(dict.fromkeys([*items, *new_items]))
+
+
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def _cut(text: bytes, starts: list[int], ends: list[int]) -> bytes:
+    """The text without the bytes from the first to the last word of each span."""
+    at = [m.span() for m in _WORD.finditer(text.translate(LOWER))]
+    out, done = [], 0
+    for s, e in zip(starts, ends, strict=True):
+        out.append(text[done : at[s][0]])
+        done = at[e - 1][1]
+    return b"".join([*out, text[done:]])
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """`docs` with all its columns, benchmark windows cut out of the text (see `contamination`); other texts stay as they are.
+
+    What a cut brings together is searched again, until no window is left. Null texts stay null.
+    """
+    names, now = docs.columns, docs
+    place = names.index(text)
+    for block in _blocks(benchmark, item, "text"):
+        patterns = Patterns(block, window)
+
+        def run(batches: Iterator[pa.RecordBatch], patterns: Patterns = patterns) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, SHARD_BYTES, text):
+                texts = [t or b"" for t in utf8_values(b.column(place))]
+                todo = list(range(len(texts)))
+                changed = set()
+                while todo:
+                    hit = [(k, s, e) for k, (_, s, e, _) in zip(todo, search_shard([texts[k] for k in todo], patterns), strict=True) if s]
+                    for k, s, e in hit:
+                        texts[k] = _cut(texts[k], s, e)
+                    todo = [k for k, _, _ in hit]
+                    changed.update(todo)
+                if changed:
+                    whole = b.column(place).to_pylist()
+                    column = pa.array([texts[k].decode() if k in changed else whole[k] for k in range(len(texts))], b.schema.field(place).type)
+                    b = pa.RecordBatch.from_arrays([*b.columns[:place], column, *b.columns[place + 1 :]], names)
+                yield b
+
+        now = now.mapInArrow(run, docs.schema)
+    return now

@@ -81,8 +81,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     return two.where(within("a", "b", edits)).select("later").distinct()
 
 
-def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """(key, text, exact, near, kept): numbers (from 0) of the lines that an equal one, or one within `edits` edits, precedes; the text without them.
+def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, text, carried, exact, near, kept): numbers (from 0) of the lines that an equal one, or one within `edits` edits, precedes; the text without them.
 
     Lines are what line feeds separate; those under `least` code points stay. Order is by key, then place. Equal
     lines are settled first, by their 128-bit hashes, pre-aggregated, so copies don't reach the join. Entries that
@@ -91,11 +91,12 @@ def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     Only numbers are shuffled, and the texts once; candidate pairs fetch their lines by place.
 
     `key` must be an integer. A null text is empty; rows without a key are kept as they are; rows that repeat a key
-    count as one document, and a line number removed from it is removed from each; other columns are not read; an
-    empty table gives no rows.
+    count as one document, and a line number removed from it is removed from each; an empty table gives no rows. `carried` is a
+    struct of the columns named by `carry`; others are not read.
     """
-    read = docs.select(docs[key].cast("bigint").alias("key"), text_of(docs, text).alias("text"))
-    named = read.where("key is not null")
+    carried = F.struct(*[docs[c].alias(c) for c in carry]) if carry else F.lit(None).cast("string")
+    read = docs.select(docs[key].cast("bigint").alias("key"), text_of(docs, text).alias("text"), carried.alias("carried"))
+    named = read.where("key is not null").select("key", "text")
     lines = named.select("key", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.length("line") >= least)
     hashed = lines.select(_place("key", "n").alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     first = hashed.groupBy("h", "g").agg(F.min("place").alias("first"))
@@ -117,7 +118,7 @@ def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     near = near.select(_key_of(F.col("later")).alias("key"), _number_of(F.col("later")).alias("n")).groupBy("key").agg(F.collect_set("n").alias("near"))
     none = F.array().cast("array<int>")
     out = read.join(exact, "key", "left").join(near, "key", "left")
-    out = out.select("key", "text", F.array_sort(F.coalesce("exact", none)).alias("exact"), F.array_sort(F.coalesce("near", none)).alias("near"))
+    out = out.select("key", "text", "carried", F.array_sort(F.coalesce("exact", none)).alias("exact"), F.array_sort(F.coalesce("near", none)).alias("near"))
     kept = F.when((F.size("exact") == 0) & (F.size("near") == 0), F.col("text")).otherwise(
         F.expr("array_join(filter(split(text, '\\n'), (l, i) -> NOT array_contains(exact, i) AND NOT array_contains(near, i)), '\\n')")
     )
