@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import slices, text_of, utf8_values
-from tidefold.sources.checkpoints import checkpointed
+from tidefold.sources.checkpoints import written
 
 LENGTH = 50
 #: Bytes of an anchor. Every window of LENGTH bytes has one: its part of this size with the smallest hash.
@@ -132,21 +132,23 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 _ANCHORS, _PHRASES, _CONTEXTS, _DIRECT = 0, 1, 2, 3
-#: Columns of the records in a blob. Documents are places in the slice's table, 16 bytes each at the blob's end.
+#: Columns of the records in a blob. Documents are places in the row's own table of keys and text hashes.
 _KINDS = {
     _ANCHORS: ["<u4", "<u2", "<u4", "u1", "<u2"],
     _PHRASES: ["<u8", "<u4", "<u4", "<u2"],
     _CONTEXTS: [f"S{2 * LENGTH - ANCHOR}", "<u4", "u1", "u1", "<u2"],
     _DIRECT: ["<u4", "<u4", "<u2"],
 }
+_FOUND = "k bigint, th int, value bigint"
 _ROWS = "bucket int, kind int, docs binary, blob binary"
 
 
 def _blob_rows(kind: int, bucket: np.ndarray, columns: list[np.ndarray], doc: np.ndarray, table: np.ndarray) -> Iterator[tuple]:
-    """One row a bucket; each carries only the documents it names."""
+    """One row a bucket; each carries only the documents it names, keys as differences."""
     for b, own in _by_bucket(bucket, [*columns, doc]):
         names, place = np.unique(own[-1], return_inverse=True)
-        yield b, kind, table[names].tobytes(), _pack([*own[:-1], place.astype("<u2")])
+        keys = table[names, 0]
+        yield b, kind, _pack([np.diff(keys, prepend=0), table[names, 1].astype("<i4")]), _pack([*own[:-1], place.astype("<u2")])
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -200,7 +202,7 @@ def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _found(key: np.ndarray, th: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(key, pa.int64()), pa.array(th, pa.int64()), pa.array(value.astype(np.int64))], ["key", "th", "value"])
+    return pa.record_batch([pa.array(key, pa.int64()), pa.array(th, pa.int32()), pa.array(value.astype(np.int64))], ["k", "th", "value"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[np.ndarray]]]:
@@ -210,8 +212,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[np.n
     for b in batches:
         for kind, docs, blob in zip(b.column("kind").to_pylist(), b.column("docs").to_pylist(), b.column("blob").to_pylist(), strict=True):
             *columns, doc = _unpack(blob, _KINDS[kind])
-            table = np.frombuffer(docs, "<i8").reshape(-1, 2)
-            held.setdefault(kind, []).append([*columns, table[doc, 0], table[doc, 1]])
+            keys, hashes = _unpack(docs, ["<i8", "<i4"])
+            held.setdefault(kind, []).append([*columns, np.cumsum(keys)[doc], hashes[doc]])
             size += len(blob) + 16 * len(doc)
             if size > _CHUNK:
                 yield {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in held.items()}
@@ -290,8 +292,10 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         data = np.frombuffer(bytes(left) + b"".join(texts) + bytes(size), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         place = (np.cumsum(sizes) - sizes)[doc] + at  # of the context, which starts `left` before the anchor
-        context = data[place[:, None] + np.arange(size)].view(f"S{size}").ravel()
-        rows = _blob_rows(_CONTEXTS, (h % np.uint64(buckets)).astype(np.int64), [context, at.astype("<u4"), (first - at + left).astype("u1"), (last - at + left).astype("u1")], doc, _table(b))
+        context = data[place[:, None] + np.arange(size)]
+        lo, hi = first - at + left, last - at + left
+        context *= (np.arange(size) >= lo[:, None]) & (np.arange(size) < hi[:, None] + LENGTH)  # zeros for bytes of no window: they compress
+        rows = _blob_rows(_CONTEXTS, (h % np.uint64(buckets)).astype(np.int64), [context.view(f"S{size}").ravel(), at.astype("<u4"), lo.astype("u1"), hi.astype("u1")], doc, _table(b))
         yield _emit(list(rows))
 
 
@@ -377,16 +381,17 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
     data = text_of(docs, text)
-    read = docs.select(docs[key].cast("bigint").alias("key"), F.xxhash64(data).alias("th"), data.alias("text"))
-    named = read.where("key is not null")
-    dealt = named.mapInArrow(lambda it: _parsed(it, buckets), _ROWS).repartition(parts, "bucket")
-    found = checkpointed(dealt.mapInArrow(_shared, "key bigint, th bigint, value bigint"))
-    anchors = found.where("value >= 0").groupBy("key", "th").agg(F.collect_set("value").alias("anchors"))
-    asked = named.join(anchors.withColumnsRenamed({"key": "k", "th": "t"}), (F.col("key") == F.col("k")) & (F.col("th") == F.col("t"))).select("key", "th", "text", "anchors")
-    around = asked.mapInArrow(lambda it: _contexts(it, buckets), _ROWS).repartition(parts, "bucket")
-    spans = around.mapInArrow(_repeats, "key bigint, th bigint, value bigint").unionAll(found.where("value < 0"))
-    spans = spans.groupBy("key", "th").agg(F.collect_set("value").alias("spans")).withColumnsRenamed({"key": "k", "th": "t"})
-    cut = read.join(spans, (F.col("key") == F.col("k")) & (F.col("th") == F.col("t")), "left").select("key", "text", "spans")
+    # rows are known by key and a hash of text, neither ever null, so that both joins find the texts dealt alike
+    missing = docs[key].isNull()
+    read = docs.select(docs[key].cast("bigint").alias("key"), F.coalesce(docs[key].cast("bigint"), F.lit(0)).alias("k"), F.hash(data, missing).alias("th"), data.alias("text"))
+    dealt = read.where("key is not null").mapInArrow(lambda it: _parsed(it, parts), _ROWS).repartition(parts, "bucket")
+    found = written(dealt.mapInArrow(_shared, _FOUND))
+    texts = read.repartition(parts, "k", "th")
+    anchors = found.where("value >= 0").groupBy("k", "th").agg(F.collect_set("value").alias("anchors"))
+    asked = texts.join(anchors, ["k", "th"]).select(F.col("k").alias("key"), "th", "text", "anchors")
+    around = asked.mapInArrow(lambda it: _contexts(it, parts), _ROWS).repartition(parts, "bucket")
+    spans = around.mapInArrow(_repeats, _FOUND).unionAll(found.where("value < 0"))
+    spans = spans.groupBy("k", "th").agg(F.collect_set("value").alias("spans"))
+    cut = texts.join(spans, ["k", "th"], "left").select("key", "text", "spans")
     return cut.mapInArrow(_removed, "key bigint, text string, starts array<bigint>, ends array<bigint>, kept binary, kept_sha256 string")
