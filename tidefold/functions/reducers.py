@@ -37,6 +37,11 @@ class Reducer:
         raise NotImplementedError
 
 
+def expression(value: Column | str) -> Column:
+    """A column, or SQL text made one when it is used (so that specs can be declared before there is a session)."""
+    return F.expr(value) if isinstance(value, str) else value
+
+
 def _over(column: Column, window: WindowSpec | None) -> Column:
     return column if window is None else column.over(window)
 
@@ -45,14 +50,14 @@ def _over(column: Column, window: WindowSpec | None) -> Column:
 class Sum(Reducer):
     """Sum of a long expression."""
 
-    value: Column
+    value: Column | str
 
     @property
     def zero(self) -> Column:
         return F.lit(0).cast("bigint")
 
     def _aggregate(self, key, when, window=None):
-        return _over(F.sum(_if(when, self.value)), window).cast("bigint")
+        return _over(F.sum(_if(when, expression(self.value))), window).cast("bigint")
 
     def combine(self, base, tail):
         return base + tail
@@ -75,14 +80,14 @@ class Count(Reducer):
 
 @dataclass(frozen=True)
 class Min(Reducer):
-    value: Column
+    value: Column | str
 
     @property
     def zero(self) -> Column:
         return F.lit(None)
 
     def _aggregate(self, key, when, window=None):
-        return _over(F.min(_if(when, self.value)), window)
+        return _over(F.min(_if(when, expression(self.value))), window)
 
     def combine(self, base, tail):
         return F.least(base, tail)
@@ -90,14 +95,14 @@ class Min(Reducer):
 
 @dataclass(frozen=True)
 class Max(Reducer):
-    value: Column
+    value: Column | str
 
     @property
     def zero(self) -> Column:
         return F.lit(None)
 
     def _aggregate(self, key, when, window=None):
-        return _over(F.max(_if(when, self.value)), window)
+        return _over(F.max(_if(when, expression(self.value))), window)
 
     def combine(self, base, tail):
         return F.greatest(base, tail)
@@ -107,14 +112,14 @@ class Max(Reducer):
 class Last(Reducer):
     """Value of the latest event in key order."""
 
-    value: Column
+    value: Column | str
 
     @property
     def zero(self) -> Column:
         return F.lit(None)
 
     def _aggregate(self, key, when, window=None):
-        return _over(F.max(_if(when, F.struct(key.alias("key"), self.value.alias("value")))), window)["value"]
+        return _over(F.max(_if(when, F.struct(key.alias("key"), expression(self.value).alias("value")))), window)["value"]
 
     def combine(self, base, tail):
         return F.coalesce(tail, base)
@@ -124,7 +129,7 @@ class Last(Reducer):
 class Append(Reducer):
     """Values of all events in key order."""
 
-    value: Column
+    value: Column | str
     type: str = "bigint"
 
     @property
@@ -132,7 +137,7 @@ class Append(Reducer):
         return F.array().cast(f"array<{self.type}>")
 
     def _aggregate(self, key, when, window=None):
-        rows = _over(F.collect_list(_if(when, F.struct(key.alias("key"), self.value.cast(self.type).alias("value")))), window)
+        rows = _over(F.collect_list(_if(when, F.struct(key.alias("key"), expression(self.value).cast(self.type).alias("value")))), window)
         return F.transform(F.array_sort(rows), lambda x: x["value"])
 
     def combine(self, base, tail):
@@ -143,14 +148,14 @@ class Append(Reducer):
 class ExprFold(Reducer):
     """An order-sensitive fold: `step(state, value)` from `start`, in key order, as built-in expressions."""
 
-    value: Column
-    start: Column
+    value: Column | str
+    start: Column | str
     step: Callable[[Column, Column], Column]
 
     @property
     def zero(self) -> Column:
-        return self.start
+        return expression(self.start)
 
     def _aggregate(self, key, when, window=None):
-        rows = _over(F.collect_list(_if(when, F.struct(key.alias("key"), self.value.alias("value")))), window)
-        return F.aggregate(F.array_sort(rows), self.start, lambda state, x: self.step(state, x["value"]))
+        rows = _over(F.collect_list(_if(when, F.struct(key.alias("key"), expression(self.value).alias("value")))), window)
+        return F.aggregate(F.array_sort(rows), self.zero, lambda state, x: self.step(state, x["value"]))

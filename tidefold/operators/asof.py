@@ -58,4 +58,4 @@ def timeline(events: DataFrame, spec: StateSpec) -> DataFrame:
     line = Window.partitionBy(spec.sid).orderBy(spec.time, spec.event_id)
     run = line.rowsBetween(Window.unboundedPreceding, 0)
     states = [r.running(spec.key(), run).alias(n) for n, r in spec.reducers.items()]
-    return events.select(spec.sid, spec.time, spec.event_id, F.row_number().over(line).cast("bigint").alias("n"), *states)
+    return events.select(spec.sid, spec.time, spec.event_id, F.row_number().over(line).cast("bigint").alias("event_number"), *states)

@@ -12,10 +12,10 @@ INTERVAL = 100
 
 
 def checkpoints(events: DataFrame, spec: StateSpec, interval: int = INTERVAL) -> DataFrame:
-    """(sid, time, event_id, n, state...): the state after every `interval`-th event of each timeline."""
+    """(sid, time, event_id, event_number, state...): the state after every `interval`-th event of each timeline."""
     if interval < 1:
         raise ValueError("interval must be at least 1")
-    return timeline(events, spec).where(F.col("n") % interval == 0)
+    return timeline(events, spec).where(F.col("event_number") % interval == 0)
 
 
 def at_from_checkpoints(events: DataFrame, marks: DataFrame, spec: StateSpec, instant: Column) -> DataFrame:

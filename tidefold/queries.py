@@ -29,10 +29,10 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-CENTS = F.round(F.col("o_totalprice") * 100).cast("bigint")
+CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 ORDERS = StateSpec("o_custkey", "o_orderdate", "o_orderkey", "o_orderkey", {"total": Sum(CENTS), "n": Count()})
 _ORDERS = "SELECT o_custkey AS sid, o_orderdate AS tm, o_orderkey AS id, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders"
-AT = F.expr("timestamp_ntz'1998-01-01 00:00:00'")
+AT = "timestamp_ntz'1998-01-01 00:00:00'"
 _AT = "timestamp '1998-01-01 00:00:00'"
 _BEFORE = "(tm < {t} OR (tm = {t} AND id < sid))"
 
@@ -43,16 +43,16 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT sid AS o_custkey, {_AT} AS o_orderdate, CAST(coalesce(sum(v) FILTER ({_BEFORE.format(t=_AT)}), 0) AS BIGINT) AS total, CAST(count(*) FILTER ({_BEFORE.format(t=_AT)}) AS BIGINT) AS n, true AS found FROM ({_ORDERS}) GROUP BY sid")
 def state_at(spark, sf_dir):
-    return op.at(_orders(spark, sf_dir), ORDERS, AT)
+    return op.at(_orders(spark, sf_dir), ORDERS, F.expr(AT))
 
 
 @_query(f"SELECT sid AS o_custkey, {_AT} AS o_orderdate, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n, true AS found FROM ({_ORDERS}) WHERE tm < {_AT} GROUP BY sid")
 def state_at_strict_time(spark, sf_dir):
-    return op.at(_orders(spark, sf_dir), ORDERS, AT, strict=True, started=True)
+    return op.at(_orders(spark, sf_dir), ORDERS, F.expr(AT), strict=True, started=True)
 
 
-EVENT_CENTS = F.round(F.col("value") * 100).cast("bigint")
-SIGNED = F.when(F.col("event_type").isin("error", "view"), -EVENT_CENTS).otherwise(EVENT_CENTS)
+EVENT_CENTS = "CAST(round(value * 100) AS BIGINT)"
+SIGNED = f"CASE WHEN event_type IN ('error', 'view') THEN -{EVENT_CENTS} ELSE {EVENT_CENTS} END"
 _EVENTS = "SELECT user_id AS sid, ts AS tm, event_id AS id, event_type, CAST(round(value * 100) AS BIGINT) AS v FROM events"
 
 
@@ -64,12 +64,12 @@ def _events(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "value")
 
 
-END = F.expr("timestamp_ntz'2100-01-01 00:00:00'")
+END = "timestamp_ntz'2100-01-01 00:00:00'"
 
 
 @_query(f"SELECT sid AS user_id, timestamp '2100-01-01 00:00:00' AS ts, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n, true AS found FROM ({_EVENTS}) WHERE sid = 7 GROUP BY sid")
 def state_at_single_entity(spark, sf_dir):
-    return op.at(_events(spark, sf_dir).where("user_id = 7"), _events_spec(total=Sum(EVENT_CENTS), n=Count()), END, started=True)
+    return op.at(_events(spark, sf_dir).where("user_id = 7"), _events_spec(total=Sum(EVENT_CENTS), n=Count()), F.expr(END), started=True)
 
 
 _GRID = "SELECT unnest([timestamp '1993-01-01', timestamp '1995-06-17', timestamp '1998-01-01', timestamp '2001-01-01']) AS t"
@@ -89,11 +89,11 @@ def state_at_many(spark, sf_dir):
 )
 def state_not_found(spark, sf_dir):
     ids = table(spark, sf_dir, "customer").select(F.explode(F.array("c_custkey", F.col("c_custkey") + 1000000)).alias("o_custkey"))
-    return op.at(_orders(spark, sf_dir), ORDERS, AT, ids=ids)
+    return op.at(_orders(spark, sf_dir), ORDERS, F.expr(AT), ids=ids)
 
 
 @_query(
-    f"SELECT sid AS o_custkey, tm AS o_orderdate, id AS o_orderkey, CAST(row_number() OVER w AS BIGINT) AS n, CAST(sum(v) OVER w AS BIGINT) AS total FROM ({_ORDERS}) WINDOW w AS (PARTITION BY sid ORDER BY tm, id ROWS UNBOUNDED PRECEDING)"
+    f"SELECT sid AS o_custkey, tm AS o_orderdate, id AS o_orderkey, CAST(row_number() OVER w AS BIGINT) AS event_number, CAST(sum(v) OVER w AS BIGINT) AS total FROM ({_ORDERS}) WINDOW w AS (PARTITION BY sid ORDER BY tm, id ROWS UNBOUNDED PRECEDING)"
 )
 def timeline_running_sum(spark, sf_dir):
     return op.timeline(_orders(spark, sf_dir), StateSpec("o_custkey", "o_orderdate", "o_orderkey", "o_orderkey", {"total": Sum(CENTS)}))
@@ -102,25 +102,25 @@ def timeline_running_sum(spark, sf_dir):
 @_query(f"SELECT sid AS o_custkey, array_to_string(list(v ORDER BY tm, id), ',') AS joined, CAST(count(*) AS BIGINT) AS n FROM ({_ORDERS}) WHERE {_BEFORE.format(t=_AT)} GROUP BY sid")
 def ordered_values(spark, sf_dir):
     spec = StateSpec("o_custkey", "o_orderdate", "o_orderkey", "o_orderkey", {"items": Append(CENTS)})
-    return op.at(_orders(spark, sf_dir), spec, AT, started=True).select("o_custkey", F.array_join("items", ",").alias("joined"), F.size("items").cast("bigint").alias("n"))
+    return op.at(_orders(spark, sf_dir), spec, F.expr(AT), started=True).select("o_custkey", F.array_join("items", ",").alias("joined"), F.size("items").cast("bigint").alias("n"))
 
 
 @_query("SELECT conv_id, CAST(count(*) AS BIGINT) AS n, array_to_string(list(role ORDER BY turn, length(text), text), '>') AS roles FROM conversations GROUP BY conv_id")
 def conversation_fold(spark, sf_dir):
     talks = table(spark, sf_dir, "conversations").withColumn("place", F.struct(F.length("text").alias("n"), "text"))
-    spec = StateSpec("conv_id", "turn", "place", "turn", {"roles": Append(F.col("role"), "string"), "n": Count()})
+    spec = StateSpec("conv_id", "turn", "place", "turn", {"roles": Append("role", "string"), "n": Count()})
     folded = op.at(talks, spec, F.lit(2**62), started=True, strict=True)
     return folded.select("conv_id", "n", F.array_join("roles", ">").alias("roles"))
 
 
 @_query(f"SELECT sid AS user_id, CAST(sum(CASE WHEN event_type IN ('error', 'view') THEN -v ELSE v END) AS BIGINT) AS total FROM ({_EVENTS}) GROUP BY sid")
 def signed_sum_fold(spark, sf_dir):
-    return op.at(_events(spark, sf_dir), _events_spec(total=Sum(SIGNED)), END).select("user_id", "total")
+    return op.at(_events(spark, sf_dir), _events_spec(total=Sum(SIGNED)), F.expr(END)).select("user_id", "total")
 
 
 _LINES = "SELECT l_suppkey AS sid, l_shipdate AS tm, l_orderkey * 8 + l_linenumber AS id, CAST(l_quantity AS BIGINT) AS v, l_returnflag AS flag, l_partkey FROM lineitem"
 #: Lineitem has a few rows of one key; the part tells them apart.
-LINES = StateSpec("l_suppkey", "l_shipdate", "id", "arrival", {"total": Sum(F.col("v"))})
+LINES = StateSpec("l_suppkey", "l_shipdate", "id", "arrival", {"total": Sum("v")})
 
 
 def _lines(spark, sf_dir):
@@ -131,13 +131,13 @@ def _lines(spark, sf_dir):
 
 @_query(f"SELECT sid AS l_suppkey, CAST(coalesce(sum(v) FILTER (flag = 'R'), 0) AS BIGINT) AS total FROM ({_LINES}) GROUP BY sid")
 def filtered_sum_fold(spark, sf_dir):
-    spec = StateSpec("l_suppkey", "l_shipdate", "id", "arrival", {"total": Sum(F.when(F.col("l_returnflag") == "R", F.col("v")))})
-    return op.at(_lines(spark, sf_dir), spec, END).select("l_suppkey", "total")
+    spec = StateSpec("l_suppkey", "l_shipdate", "id", "arrival", {"total": Sum("CASE WHEN l_returnflag = 'R' THEN v END")})
+    return op.at(_lines(spark, sf_dir), spec, F.expr(END)).select("l_suppkey", "total")
 
 
 @_query(f"SELECT sid AS user_id, max_by(event_type, struct_pack(a := tm, b := id)) AS last_type, max(v) AS highest FROM ({_EVENTS}) GROUP BY sid")
 def last_value_fold(spark, sf_dir):
-    return op.at(_events(spark, sf_dir), _events_spec(last_type=Last(F.col("event_type")), highest=Max(EVENT_CENTS)), END).select("user_id", "last_type", "highest")
+    return op.at(_events(spark, sf_dir), _events_spec(last_type=Last("event_type"), highest=Max(EVENT_CENTS)), F.expr(END)).select("user_id", "last_type", "highest")
 
 
 @_query(
@@ -145,49 +145,49 @@ def last_value_fold(spark, sf_dir):
     f"FROM (SELECT sid, tm, id, CASE WHEN event_type IN ('error', 'view') THEN -v ELSE v END AS x FROM ({_EVENTS})) GROUP BY sid"
 )
 def nonlinear_fold(spark, sf_dir):
-    fold = ExprFold(SIGNED, F.lit(0).cast("bigint"), lambda state, x: F.greatest(state + x, F.lit(0).cast("bigint")))
-    return op.at(_events(spark, sf_dir), _events_spec(balance=fold), END).select("user_id", "balance")
+    fold = ExprFold(SIGNED, "0L", lambda state, x: F.greatest(state + x, F.lit(0).cast("bigint")))
+    return op.at(_events(spark, sf_dir), _events_spec(balance=fold), F.expr(END)).select("user_id", "balance")
 
 
 #: The orders, every third delivered again with another value, after all others.
 _TWICE = f"SELECT sid, tm, id, v, id AS arrival FROM ({_ORDERS}) UNION ALL SELECT sid, tm, id, v + 1, id + 100000000 FROM ({_ORDERS}) WHERE id % 3 = 0"
-TWICE = StateSpec("sid", "tm", "id", "arrival", {"total": Sum(F.col("v")), "n": Count()})
+TWICE = StateSpec("sid", "tm", "id", "arrival", {"total": Sum("v"), "n": Count()})
 
 
 def _twice(spark, sf_dir):
-    once = _orders(spark, sf_dir).select(F.col("o_custkey").alias("sid"), F.col("o_orderdate").alias("tm"), F.col("o_orderkey").alias("id"), CENTS.alias("v"), F.col("o_orderkey").alias("arrival"))
+    once = _orders(spark, sf_dir).select(F.col("o_custkey").alias("sid"), F.col("o_orderdate").alias("tm"), F.col("o_orderkey").alias("id"), F.expr(CENTS).alias("v"), F.col("o_orderkey").alias("arrival"))
     return once.unionAll(once.where("id % 3 = 0").select("sid", "tm", "id", F.col("v") + 1, F.col("arrival") + 100000000))
 
 
 @_query(f"SELECT sid, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY sid, tm, id ORDER BY arrival) AS k FROM ({_TWICE})) WHERE k = 1 GROUP BY sid")
 def dedup_first_arrival(spark, sf_dir):
-    return op.at(op.dedup(_twice(spark, sf_dir), TWICE), TWICE, END).select("sid", "total", "n")
+    return op.at(op.dedup(_twice(spark, sf_dir), TWICE), TWICE, F.expr(END)).select("sid", "total", "n")
 
 
 @_query(f"SELECT sid, CAST(sum(v) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS n FROM (SELECT sid, tm, id, v FROM ({_ORDERS}) UNION ALL SELECT sid, tm + INTERVAL 1 DAY, id, v FROM ({_ORDERS}) WHERE id % 2 = 0) GROUP BY sid")
 def dup_ids_diff_times(spark, sf_dir):
-    once = _orders(spark, sf_dir).select(F.col("o_custkey").alias("sid"), F.col("o_orderdate").alias("tm"), F.col("o_orderkey").alias("id"), CENTS.alias("v"), F.col("o_orderkey").alias("arrival"))
+    once = _orders(spark, sf_dir).select(F.col("o_custkey").alias("sid"), F.col("o_orderdate").alias("tm"), F.col("o_orderkey").alias("id"), F.expr(CENTS).alias("v"), F.col("o_orderkey").alias("arrival"))
     moved = once.where("id % 2 = 0").withColumn("tm", F.expr("tm + INTERVAL 1 DAY"))
-    return op.at(op.dedup(once.unionByName(moved), TWICE), TWICE, END).select("sid", "total", "n")
+    return op.at(op.dedup(once.unionByName(moved), TWICE), TWICE, F.expr(END)).select("sid", "total", "n")
 
 
 _FIRST = f"SELECT sid, tm, id, v FROM (SELECT *, row_number() OVER (PARTITION BY sid, tm, id ORDER BY l_partkey, v) AS k FROM ({_LINES})) WHERE k = 1"
 _RUN = f"SELECT *, CAST(row_number() OVER w AS BIGINT) AS n, CAST(sum(v) OVER w AS BIGINT) AS total FROM ({_FIRST}) WINDOW w AS (PARTITION BY sid ORDER BY tm, id ROWS UNBOUNDED PRECEDING)"
 
 
-@_query(f"SELECT sid AS l_suppkey, tm AS l_shipdate, id, n, total FROM ({_RUN}) WHERE n % 100 = 0")
+@_query(f"SELECT sid AS l_suppkey, tm AS l_shipdate, id, n AS event_number, total FROM ({_RUN}) WHERE n % 100 = 0")
 def checkpoints_every_100(spark, sf_dir):
     return op.checkpoints(op.dedup(_lines(spark, sf_dir), LINES), LINES)
 
 
-MID = F.expr("timestamp_ntz'1995-06-17 00:00:00'")
+MID = "timestamp_ntz'1995-06-17 00:00:00'"
 _MID = "timestamp '1995-06-17 00:00:00'"
 
 
 @_query(f"SELECT sid AS l_suppkey, {_MID} AS l_shipdate, CAST(coalesce(sum(v) FILTER ({_BEFORE.format(t=_MID)}), 0) AS BIGINT) AS total FROM ({_FIRST}) GROUP BY sid")
 def state_from_checkpoint(spark, sf_dir):
     lines = op.dedup(_lines(spark, sf_dir), LINES)
-    return op.at_from_checkpoints(lines, op.checkpoints(lines, LINES), LINES, MID)
+    return op.at_from_checkpoints(lines, op.checkpoints(lines, LINES), LINES, F.expr(MID))
 
 
 _LATE = "SELECT sid, arrival, tm AS from_time, latest AS to_time FROM (SELECT *, max(tm) OVER (PARTITION BY sid ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ({log})) WHERE tm < latest"
@@ -236,10 +236,10 @@ def reconciliation_capacity(spark, sf_dir):
 def override_state_at(spark, sf_dir):
     # of snapshots at one time any may win: the dates of one customer's fifth orders differ by construction or agree in full
     best = _snapshots(spark, sf_dir).groupBy("sid", "tm").agg(F.max("total").alias("total"), F.max("n").alias("n"))
-    return op.override_at(_twice(spark, sf_dir).where("arrival = id"), best, TWICE, AT)
+    return op.override_at(_twice(spark, sf_dir).where("arrival = id"), best, TWICE, F.expr(AT))
 
 
-DROP = F.expr("timestamp_ntz'1995-01-01 00:00:00'")
+DROP = "timestamp_ntz'1995-01-01 00:00:00'"
 _DROP = "timestamp '1995-01-01 00:00:00'"
 _NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY sid ORDER BY tm, id) AS n, count(*) FILTER (tm < {_DROP}) OVER (PARTITION BY sid) AS d FROM ({_FIRST})"
 
@@ -249,12 +249,12 @@ _NUMBERED = f"SELECT *, row_number() OVER (PARTITION BY sid ORDER BY tm, id) AS
     f"SELECT sid AS l_suppkey, {_MID} AS l_shipdate, CAST(coalesce(sum(v) FILTER (CASE WHEN whole THEN b ELSE n <= p OR (n > d AND b) END), 0) AS BIGINT) AS total FROM m GROUP BY sid"
 )
 def prune_then_query(spark, sf_dir):
-    return op.prune_at(op.dedup(_lines(spark, sf_dir), LINES), LINES, DROP, MID)
+    return op.prune_at(op.dedup(_lines(spark, sf_dir), LINES), LINES, F.expr(DROP), F.expr(MID))
 
 
 @_query(f"SELECT sid AS l_suppkey, CAST(count(*) FILTER (n > d) AS BIGINT) AS kept_events, CAST(max(d) AS BIGINT) AS dropped_events, CAST(count(*) FILTER (n > d AND n % 100 = 0) AS BIGINT) AS kept_checkpoints, CAST(max(d - d % 100) AS BIGINT) AS based_on FROM ({_NUMBERED}) GROUP BY sid")
 def prune_retained(spark, sf_dir):
-    return op.retained(op.dedup(_lines(spark, sf_dir), LINES), LINES, DROP)
+    return op.retained(op.dedup(_lines(spark, sf_dir), LINES), LINES, F.expr(DROP))
 
 
 @_query(
@@ -289,7 +289,7 @@ def memory_admission(spark, sf_dir):
 def out_of_order_determinism(spark, sf_dir):
     log = _events(spark, sf_dir).withColumn("arrival", F.col("event_id") * 7919 % 1009)
     spec = StateSpec("user_id", "ts", "event_id", "arrival", {"items": Append(EVENT_CENTS)})
-    one, two = (op.at(op.dedup(x, spec), spec, END) for x in (log, log.withColumn("arrival", -F.col("arrival"))))
+    one, two = (op.at(op.dedup(x, spec), spec, F.expr(END)) for x in (log, log.withColumn("arrival", -F.col("arrival"))))
     return one.alias("a").join(two.alias("b"), "user_id", "full_outer").where("a.items IS DISTINCT FROM b.items").agg(F.count("*").alias("differing"))
 
 
@@ -305,13 +305,13 @@ def _commands(log: DataFrame, sid: str, time: str, event_id: str, value, order)
 
 @_query(f"SELECT sid AS snapshot_id, CAST(sum(v) AS BIGINT) AS state, true AS found FROM ({_ORDERS}) GROUP BY sid")
 def compat_command_log(spark, sf_dir):
-    log = _commands(_orders(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey", CENTS, F.col("o_orderkey"))
+    log = _commands(_orders(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey", F.expr(CENTS), F.col("o_orderkey"))
     return replay(log).where("kind = 'query'").select("snapshot_id", "state", "found")
 
 
 @_query(f"SELECT sid AS snapshot_id, epoch_us(tm) AS from_time, epoch_us(latest) AS to_time FROM (SELECT *, max(tm) OVER (PARTITION BY sid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ({_ORDERS})) WHERE tm < latest")
 def compat_changes(spark, sf_dir):
-    log = _commands(_orders(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey", CENTS, F.col("o_orderkey"))
+    log = _commands(_orders(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey", F.expr(CENTS), F.col("o_orderkey"))
     return replay(log).where("kind = 'change'").select("snapshot_id", "from_time", "to_time")
 
 
@@ -324,7 +324,7 @@ def streaming_equals_batch(spark, sf_dir):
     ensure_checkpoint_dir(spark)
     configure(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
-    log = _commands(_events(spark, sf_dir), "user_id", "ts", "event_id", SIGNED, F.col("event_id"))
+    log = _commands(_events(spark, sf_dir), "user_id", "ts", "event_id", F.expr(SIGNED), F.col("event_id"))
     log.repartition(2).write.parquet(f"{folder}/in")
     source = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
     running = live(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

@@ -28,7 +28,7 @@ class StateSpec:
         names = (self.sid, self.time, self.event_id)
         if len({*names}) < 3:
             raise ValueError("sid, time and event_id must be different columns")
-        if taken := {*names, "found"} & {*self.reducers}:
+        if taken := {*names, "found", "event_number"} & {*self.reducers}:
             raise ValueError(f"state columns must have names of their own: {sorted(taken)}")
 
     def before(self, instant: Column, strict: bool = False) -> Column:
