@@ -1,0 +1,66 @@
+"""Line dedup against brute force."""
+
+import random
+
+import pytest
+
+from tidefold.llm.line_dedup import near_duplicate_lines, within
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def edited(rnd, text, most, letters):
+    out = list(text)
+    for _ in range(rnd.randint(0, most)):
+        i, kind = rnd.randint(0, len(out)), rnd.randrange(3)
+        if kind == 0 or i == len(out):
+            out.insert(i, rnd.choice(letters))
+        elif kind == 1:
+            del out[i]
+        else:
+            out[i] = rnd.choice(letters)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("edits", [0, 1, 2, 3])
+def test_within(spark, edits):
+    rnd = random.Random(edits)
+    pairs = [(a := "".join(rnd.choice("abé") for _ in range(rnd.randint(0, 12))), edited(rnd, a, 4, "abé")) for _ in range(300)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for r in df.select("a", "b", within("a", "b", edits).alias("w")).collect():
+        assert r.w == (distance(r.a, r.b) <= edits), r
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_equals_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    line = lambda n: "".join(rnd.choice("abcdeé ") for _ in range(n))
+    base = [line(rnd.randint(38, 60)) for _ in range(8)]
+    rows = []
+    for k in range(40):
+        text = "\n".join(rnd.choice([edited(rnd, rnd.choice(base), 4, "xyzé"), edited(rnd, rnd.choice(base), 4, "xyzé"), "short", "", line(50)]) for _ in range(rnd.randint(1, 8)))
+        rows.append((k if rnd.random() < 0.95 else None, rnd.choice([None, ""]) if rnd.random() < 0.1 else text, f"n{k}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, near string").repartition(4)
+    got = {r.carried.near: (r.key, r.exact, r.near, r.kept) for r in near_duplicate_lines(df, carry=("near",)).collect()}
+    seen = []
+    for k, t, name in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        exact, near = [], []
+        lines = (t or "").split("\n")
+        for i, x in enumerate(lines if k is not None else []):
+            if len(x) >= 40:
+                if x in seen:
+                    exact.append(i)
+                elif any(distance(x, y) <= 2 for y in seen):
+                    near.append(i)
+                seen.append(x)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in exact and i not in near)
+        assert got[name] == (k, exact, near, kept)
+    assert near_duplicate_lines(df.limit(0)).collect() == []
