@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import text_of
-from tidefold.sources.checkpoints import checkpointed
+from tidefold.sources.checkpoints import checkpointed, written
 
 #: Edits (of one code point) up to which two lines count as the same.
 EDITS = 2
@@ -36,21 +36,32 @@ def _segments(length: str, edits: int) -> list[tuple[str, str]]:
 
 
 def entries(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(key, place, probe) from (place, line): a line's own segments, and the substrings with which it probes lines as long or up to `edits` shorter.
+    """(key, place, probe) from (place, line): a line's segments, and the substrings with which it probes lines as long or up to `edits` shorter.
 
     A key is the hash of a segment, its number and the length of the line that owns it. Of two lines within `edits`
     edits the longer has the shorter one's segment i, for some i, at a place that the multi-match bounds allow: up to
-    i - 1 off its start seen from the left, and up to edits + 1 - i off seen from the right.
+    i - 1 off its start seen from the left, and up to edits + 1 - i off seen from the right. A line's own segments
+    are among its probes for its own length, so `probe` marks the entries that are only probes.
     """
-    own, probes = [], []
-    for i, (start, size) in enumerate(_segments("n", edits)):
-        own.append(f"xxhash64({i}, n, substr(line, {start}, {size}))")
+    keys = []
     for shorter in range(edits + 1):
         for i, (start, size) in enumerate(_segments(f"(n - {shorter})", edits)):
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                probes.append(f"xxhash64({i}, n - {shorter}, substr(line, {start} + {off}, {size}))")
-    pairs = [f"struct({k} AS key, false AS probe)" for k in own] + [f"struct({k} AS key, true AS probe)" for k in probes]
-    return lines.withColumn("n", F.length("line")).select("place", F.explode(F.expr(f"array({', '.join(pairs)})")).alias("e")).select("e.key", "place", "e.probe")
+                keys.append(f"struct(xxhash64({i}, n - {shorter}, substr(line, {start} + {off}, {size})) AS key, {'false' if shorter == off == 0 else 'true'} AS probe)")
+    return lines.withColumn("n", F.length("line")).select("place", F.explode(F.expr(f"array({', '.join(keys)})")).alias("e")).select("e.key", "place", "e.probe")
+
+
+_LETTERS = " abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(line: str) -> Column:
+    """How often a line has each of some characters."""
+    return F.expr(f"array({', '.join(f"length({line}) - length(replace({line}, '{c}', ''))" for c in _LETTERS)})")
+
+
+def _alike(a: str, b: str, edits: int) -> Column:
+    """Whether letter counts allow `edits` edits: each edit moves them by two at most."""
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x) <= {2 * edits}")
 
 
 def within(a: str, b: str, edits: int = EDITS) -> Column:
@@ -73,12 +84,15 @@ def within(a: str, b: str, edits: int = EDITS) -> Column:
     return F.expr(f"CASE WHEN abs(length({a}) - length({b})) > {edits} THEN false ELSE {done} END")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """(later): places of lines with an earlier one, of the candidate pairs (earlier, later), within `edits` edits."""
-    line = lambda place: F.expr("get(split(text, '\\n'), n)").alias(place)
-    one = pairs.withColumn("key", _key_of(F.col("earlier"))).withColumn("n", _number_of(F.col("earlier"))).join(texts, "key").select("earlier", "later", line("a"))
-    two = one.withColumn("key", _key_of(F.col("later"))).withColumn("n", _number_of(F.col("later"))).join(texts, "key").select("later", "a", line("b"))
-    return two.where(within("a", "b", edits)).select("later").distinct()
+    one = pairs.join(lines.select(F.col("place").alias("earlier"), F.col("line").alias("a"), F.col("letters").alias("la")), "earlier")
+    two = one.join(lines.select(F.col("place").alias("later"), F.col("line").alias("b"), F.col("letters").alias("lb")), "later")
+    return two.where(_alike("la", "lb", edits)).where(within("a", "b", edits)).select("later").distinct()
+
+
+#: Most numbers (keys and removed lines) that go along with every task; beyond, the texts are dealt to them instead.
+_BROADCAST_NUMBERS = 2_000_000
 
 
 def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -87,8 +101,9 @@ def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     Lines are what line feeds separate; those under `least` code points stay. Order is by key, then place. Equal
     lines are settled first, by their 128-bit hashes, pre-aggregated, so copies don't reach the join. Entries that
     share a key with another line are kept, and decided in two steps: against the key's first line (linear in the
-    key's rows; a group of near copies mostly ends here), then what is left against all earlier lines of the key.
-    Only numbers are shuffled, and the texts once; candidate pairs fetch their lines by place.
+    key's rows; a group of near copies mostly ends here), then what is left against the earlier lines of the key whose
+    letter counts are close enough. Numbers are shuffled, and the texts once; removed line numbers go along with
+    every task where both checked counts allow that (_BROADCAST_NUMBERS), else the texts are dealt to them.
 
     `key` must be an integer. A null text is empty; rows without a key are kept as they are; rows that repeat a key
     count as one document, and a line number removed from it is removed from each; an empty table gives no rows. `carried` is a
@@ -108,16 +123,23 @@ def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     distinct = distinct.where((F.length("line") >= least) & ~F.coalesce(F.array_contains("exact", F.col("n")), F.lit(False)))
     offered = entries(distinct.select(_place("key", "n").alias("place"), "line"), edits).repartition(parts, "key")
     # a key may come twice from one place: it is shared only if its first and last place differ
-    hub = offered.groupBy("key").agg(F.min("place").alias("hub"), F.max("place").alias("last"), F.max("probe").alias("some"), F.min("probe").alias("all")).where("hub < last AND some AND NOT all").select("key", "hub")
-    shared = checkpointed(offered.join(hub, "key"))
-    star = shared.where("place <> hub").select(F.col("hub").alias("earlier"), F.col("place").alias("later")).distinct()
-    decided = checkpointed(_verified(star, texts, edits))
-    open_ = shared.join(decided, shared["place"] == decided["later"], "left_anti").where("place <> hub").select("key", F.col("place").alias("later"), F.col("probe").alias("p"))
-    rest = open_.join(shared.where("place <> hub").select("key", F.col("place").alias("earlier"), "probe"), "key").where("earlier < later AND p <> probe").select("earlier", "later").distinct()
-    near = decided.unionAll(_verified(rest, texts, edits))
-    near = near.select(_key_of(F.col("later")).alias("key"), _number_of(F.col("later")).alias("n")).groupBy("key").agg(F.collect_set("n").alias("near"))
+    hub = offered.groupBy("key").agg(F.min("place").alias("hub"), F.max("place").alias("last"), F.min("probe").alias("only")).where("hub < last AND NOT only").withColumnRenamed("key", "k").select("k", "hub")
+    shared = offered.join(hub, F.col("key") == F.col("k")).groupBy("place").agg(F.collect_set(F.struct("key", "probe", "hub")).alias("keys"))
+    shared = shared.select(_key_of(F.col("place")).alias("key"), "place", "keys").join(texts, "key").select("place", "keys", F.get(F.split("text", "\n"), _number_of(F.col("place"))).alias("line"))
+    lines = written(shared.withColumn("letters", _letters("line")))
+    each = lines.select("place", "letters", F.explode("keys").alias("e")).select("place", "letters", "e.*").where("place <> hub")
+    star = each.select(F.col("hub").alias("earlier"), F.col("place").alias("later")).distinct()
+    decided = checkpointed(_verified(star, lines, edits))
+    open_ = each.join(decided, each["place"] == decided["later"], "left_anti").select("key", F.col("place").alias("later"), F.col("letters").alias("lb"), F.col("probe").alias("p"))
+    rest = open_.join(each.select("key", F.col("place").alias("earlier"), F.col("letters").alias("la"), "probe"), "key").where("earlier < later AND NOT (p AND probe)").where(_alike("la", "lb", edits))
+    near = decided.unionAll(_verified(rest.select("earlier", "later").distinct(), lines, edits))
+    near = checkpointed(near.select(_key_of(F.col("later")).alias("key"), _number_of(F.col("later")).alias("n")).groupBy("key").agg(F.collect_set("n").alias("near")))
+    gone = exact.join(near, "key", "full_outer")
+    numbers = [df.agg(F.count("*") + F.coalesce(F.sum(F.size(c)), F.lit(0))).first()[0] for df, c in ((exact, "exact"), (near, "near"))]
+    if sum(numbers) <= _BROADCAST_NUMBERS:
+        gone = F.broadcast(gone)
     none = F.array().cast("array<int>")
-    out = read.join(exact, "key", "left").join(near, "key", "left")
+    out = read.join(gone, "key", "left")
     out = out.select("key", "text", "carried", F.array_sort(F.coalesce("exact", none)).alias("exact"), F.array_sort(F.coalesce("near", none)).alias("near"))
     kept = F.when((F.size("exact") == 0) & (F.size("near") == 0), F.col("text")).otherwise(
         F.expr("array_join(filter(split(text, '\\n'), (l, i) -> NOT array_contains(exact, i) AND NOT array_contains(near, i)), '\\n')")
