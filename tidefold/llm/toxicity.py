@@ -87,7 +87,7 @@ class Model:
     bias: float
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 8000, pull: float = 1.0, z: float = 3.5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = 8000, pull: float = 1.0, z: float = 2.5) -> Model:
     """Fit on at most `most` labelled rows (those with the smallest hash of their key), up to half of them toxic.
 
     Features come from the executors as numbers, so the driver gets no text. A feature counts if its log-odds of
