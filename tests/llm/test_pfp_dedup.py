@@ -66,6 +66,13 @@ def test_equals_brute_force(spark, seed):
     assert run(df) == brute(rows)
 
 
+def test_rows_of_one_key_each_lose_their_own_bytes(spark):
+    rnd = random.Random(8)
+    shared = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, shared[100:700]), (5, "x" * 30 + shared[:800]), (5, "y" * 70 + shared[50:]), (7, shared)]
+    assert run(spark.createDataFrame(rows, "doc_id bigint, text string")) == brute(rows)
+
+
 def test_empty(spark):
     assert run(spark.createDataFrame([], "doc_id bigint, text string")) == []
 

@@ -30,7 +30,7 @@ ANCHOR = 16
 #: One anchor in so many starts a phrase.
 PERIOD = 16
 _SLICE = 4 << 20
-_CHUNK = 24 << 20
+_CHUNK = 8 << 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 _48 = np.uint64((1 << 48) - 1)
@@ -250,9 +250,10 @@ def _shared_anchors(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tu
     shared = (np.minimum.reduceat(tag, heads) != np.maximum.reduceat(tag, heads)) & (np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads))
     shared |= np.maximum.reduceat(done, heads) > 0
     each = np.repeat(shared, span)
-    fresh = each & (done == 0)
+    phrase = np.cumsum(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tag[1:] != tag[:-1]))))
+    repeat = key > _least(phrase, key)  # of one phrase only the first document matters
+    fresh = each & (done == 0) & ~repeat
     out = _found(key[fresh], th[fresh], anchor[fresh])
-    repeat = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (tag[1:] == tag[:-1])))  # of one phrase only the first document matters
     is_head = np.zeros(len(anchor), bool)
     is_head[heads] = True
     keep = np.where(each, is_head, ~repeat)
