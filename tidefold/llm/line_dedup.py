@@ -48,7 +48,9 @@ def entries(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         for i, (start, size) in enumerate(_segments(f"(n - {shorter})", edits)):
             for off in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 keys.append(f"struct(xxhash64({i}, n - {shorter}, substr(line, {start} + {off}, {size})) AS key, {'false' if shorter == off == 0 else 'true'} AS probe)")
-    return lines.withColumn("n", F.length("line")).select("place", F.explode(F.expr(f"array({', '.join(keys)})")).alias("e")).select("e.key", "place", "e.probe")
+    # places are never null; that Spark knows it keeps filters out of what is dealt by key, so it is dealt once for all uses
+    sized = lines.select(F.coalesce("place", F.lit(0)).alias("place"), "line", F.length("line").alias("n"))
+    return sized.select("place", F.explode(F.expr(f"array({', '.join(keys)})")).alias("e")).select("e.key", "place", "e.probe")
 
 
 _LETTERS = " abcdefghijklmnopqrstuvwxyz"
