@@ -390,7 +390,7 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     found = written(dealt.mapInArrow(_shared, _FOUND))
     texts = read.repartition(parts, "k", "th")
     anchors = found.where("value >= 0").groupBy("k", "th").agg(F.collect_set("value").alias("anchors"))
-    asked = texts.join(anchors, ["k", "th"]).select(F.col("k").alias("key"), "th", "text", "anchors")
+    asked = texts.join(anchors, ["k", "th"]).select("key", "th", "text", "anchors")  # the same columns as below: dealt once
     around = asked.mapInArrow(lambda it: _contexts(it, parts), _ROWS).repartition(parts, "bucket")
     spans = around.mapInArrow(_repeats, _FOUND).unionAll(found.where("value < 0"))
     spans = spans.groupBy("k", "th").agg(F.collect_set("value").alias("spans"))
