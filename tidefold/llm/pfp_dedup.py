@@ -64,6 +64,12 @@ class Parse:
     tag: np.ndarray  # of each phrase
     head: np.ndarray  # first anchor of each phrase
 
+    def context_tags(self, texts: list[bytes], which: np.ndarray) -> np.ndarray:
+        """For anchors the hash of the bytes that their windows cover: equal tags mean equal windows."""
+        digest = xxhash.xxh64_intdigest
+        rows = zip(self.doc[which].tolist(), self.first[which].tolist(), (self.last[which] + LENGTH).tolist(), (self.at - self.first)[which].tolist(), strict=True)
+        return np.fromiter((digest(texts[d][x:y], a) for d, x, y, a in rows), np.uint64, int(which.sum()))
+
 
 def parse(texts: list[bytes], length: int = LENGTH) -> Parse | None:
     """None if no text has `length` bytes."""
@@ -131,6 +137,14 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
+_SETTLED = 1 << 62
+
+
+def _settled(anchor: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """An anchor in one context: 22 bits of its hash and the context's tag of 40."""
+    return _SETTLED | tag << 22 | anchor & 0x3FFFFF
+
+
 _ANCHORS, _PHRASES, _CONTEXTS, _DIRECT = 0, 1, 2, 3
 #: Columns of the records in a blob. Documents are places in the row's own table of keys and text hashes.
 _KINDS = {
@@ -191,7 +205,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
         own = ~late
         rows += _blob_rows(_PHRASES, (p.tag[own] % np.uint64(buckets)).astype(np.int64), [p.tag[own], start[own].astype("<u4"), end[own].astype("<u4")], pd[own], table)
         keep = own[p.phrase]
-        h, tag = p.hash[keep], p.tag[p.phrase[keep]]
+        h, tag = p.hash[keep], p.context_tags(texts, keep)
         rows += _blob_rows(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), (tag & _LOW).astype("<u4"), (tag >> np.uint64(32)).astype("u1")], p.doc[keep], table)
         yield _emit(rows)
 
@@ -237,7 +251,8 @@ def _first_phrases(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tup
 
 
 def _shared_anchors(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tuple[list[np.ndarray], pa.RecordBatch]:
-    """Anchors in several phrases of several documents come out; of the others what decides later chunks stays.
+    """Anchors to look at come out: those whose windows a smaller document has, all alike (marked _SETTLED), and those
+    that stand in several contexts and documents. Of the others what decides later chunks stays.
 
     The state's `done` marks anchors known to be shared: their later records come out at once, so a very common
     anchor leaves one record here.
@@ -250,13 +265,13 @@ def _shared_anchors(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tu
     shared = (np.minimum.reduceat(tag, heads) != np.maximum.reduceat(tag, heads)) & (np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads))
     shared |= np.maximum.reduceat(done, heads) > 0
     each = np.repeat(shared, span)
-    phrase = np.cumsum(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tag[1:] != tag[:-1]))))
-    repeat = key > _least(phrase, key)  # of one phrase only the first document matters
-    fresh = each & (done == 0) & ~repeat
-    out = _found(key[fresh], th[fresh], anchor[fresh])
+    context = np.cumsum(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tag[1:] != tag[:-1]))))
+    settled = (key > _least(context, key)) & (done == 0)
+    fresh = settled | (each & (done == 0))
+    out = _found(key[fresh], th[fresh], np.where(settled, _settled(anchor, tag), anchor)[fresh])
     is_head = np.zeros(len(anchor), bool)
     is_head[heads] = True
-    keep = np.where(each, is_head, ~repeat)
+    keep = np.where(each, is_head, ~settled)
     done = np.where(each, 1, 0).astype(np.int8)
     return [c[keep] for c in (anchor, tag, key, th, done)], out
 
@@ -278,7 +293,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around every shared anchor of the dictionary, dealt to buckets by the anchor."""
+    """The bytes around every shared anchor of the dictionary, dealt to buckets by the anchor; settled ones become spans."""
     left, size = LENGTH - ANCHOR, 2 * LENGTH - ANCHOR
     for b in slices(batches, _SLICE, "text"):
         b, texts = _slim(b, LENGTH)
@@ -287,8 +302,22 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
             continue
         lists = b.column("anchors")
         docs = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        asked = lists.flatten().to_numpy().astype(np.int64) | docs << 48
-        keep = np.isin((p.hash >> np.uint64(16) & _48).astype(np.int64) | p.doc << 48, asked)
+        values = lists.flatten().to_numpy().astype(np.int64)
+        own = (p.hash >> np.uint64(16) & _48).astype(np.int64)
+        done = values >= _SETTLED
+        near = np.isin(p.doc << 22 | own & 0x3FFFFF, docs[done] << 22 | values[done] & 0x3FFFFF)
+        tags = (p.context_tags(texts, near) & np.uint64((1 << 40) - 1)).astype(np.int64)
+        settled = np.zeros(len(own), bool)
+        pairs = np.stack((docs[done], values[done]), 1)
+        known = {*map(tuple, pairs.tolist())}
+        settled[near] = np.fromiter((x in known for x in zip(p.doc[near].tolist(), _settled(own[near], tags).tolist(), strict=True)), bool, int(near.sum()))
+        keep = np.isin(own | p.doc << 48, values[~done] | docs[~done] << 48) & ~settled
+        hit = np.flatnonzero(settled)
+        joined = np.zeros(len(hit), bool)  # to the anchor before: one span
+        joined[1:] = (hit[1:] == hit[:-1] + 1) & (p.doc[hit[1:]] == p.doc[hit[:-1]]) & (p.first[hit[1:]] == p.last[hit[:-1]] + 1)
+        a = hit[~joined]
+        z = hit[np.append(np.flatnonzero(~joined)[1:], len(hit)) - 1] if len(hit) else hit
+        spans = _blob_rows(_DIRECT, p.doc[a] % buckets, [p.first[a].astype("<u4"), (p.last[z] + LENGTH).astype("<u4")], p.doc[a], _table(b))
         at, doc, first, last, h = p.at[keep], p.doc[keep], p.first[keep], p.last[keep], p.hash[keep]
         data = np.frombuffer(bytes(left) + b"".join(texts) + bytes(size), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -297,7 +326,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         lo, hi = first - at + left, last - at + left
         context *= (np.arange(size) >= lo[:, None]) & (np.arange(size) < hi[:, None] + LENGTH)  # zeros for bytes of no window: they compress
         rows = _blob_rows(_CONTEXTS, (h % np.uint64(buckets)).astype(np.int64), [context.view(f"S{size}").ravel(), at.astype("<u4"), lo.astype("u1"), hi.astype("u1")], doc, _table(b))
-        yield _emit(list(rows))
+        yield _emit([*rows, *spans])
 
 
 def suffix_runs(data: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +360,11 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left, size = LENGTH - ANCHOR, 2 * LENGTH - ANCHOR
     state = None
     for chunk in _gathered(batches):
+        if _DIRECT in chunk:
+            start, end, key, th = chunk[_DIRECT]
+            yield _found(key, th, _span(start, end))
+        if _CONTEXTS not in chunk:
+            continue
         context, at, lo, hi, key, th = chunk[_CONTEXTS]
         context, at, lo, hi, key, th = _joined(state, [context, at.astype(np.int64), lo, hi, key, th])
         n = hi.astype(np.int64) - lo + 1
