@@ -420,12 +420,12 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     # rows are known by key and a hash of text, neither ever null, so that both joins find the texts dealt alike
     missing = docs[key].isNull()
     read = docs.select(docs[key].cast("bigint").alias("key"), F.coalesce(docs[key].cast("bigint"), F.lit(0)).alias("k"), F.hash(data, missing).alias("th"), data.alias("text"))
-    dealt = read.where("key is not null").mapInArrow(lambda it: _parsed(it, parts), _ROWS).repartition(parts, "bucket")
+    dealt = read.where("key is not null").mapInArrow(lambda it: _parsed(it, parts), _ROWS).repartitionById(parts, F.col("bucket"))
     found = written(dealt.mapInArrow(_shared, _FOUND))
     texts = read.repartition(parts, "k", "th")
     anchors = found.where("value >= 0").groupBy("k", "th").agg(F.collect_set("value").alias("anchors"))
     asked = texts.join(anchors, ["k", "th"]).select("key", "th", "text", "anchors")  # the same columns as below: dealt once
-    around = asked.mapInArrow(lambda it: _contexts(it, parts), _ROWS).repartition(parts, "bucket")
+    around = asked.mapInArrow(lambda it: _contexts(it, parts), _ROWS).repartitionById(parts, F.col("bucket"))
     spans = around.mapInArrow(_repeats, _FOUND).unionAll(found.where("value < 0"))
     spans = spans.groupBy("k", "th").agg(F.collect_set("value").alias("spans"))
     cut = texts.join(spans, ["k", "th"], "left").select("key", "text", "spans")
