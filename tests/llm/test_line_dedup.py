@@ -64,3 +64,21 @@ def test_equals_brute_force(spark, seed):
         kept = "\n".join(x for i, x in enumerate(lines) if i not in exact and i not in near)
         assert got[name] == (k, exact, near, kept)
     assert near_duplicate_lines(df.limit(0)).collect() == []
+
+
+def test_equal_short_lines(spark):
+    long = "a line that is long enough to be compared by edits"
+    rows = [(1, f"Menu\n{long}\n\n \t\nMenu"), (2, f"Menu\nmenu\n{long}\n \t\n"), (3, "Menus\nmenu\né\né")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.key: (r.exact, r.near, r.kept) for r in near_duplicate_lines(df, equal_least=1).collect()}
+    assert got == {1: ([4], [], f"Menu\n{long}\n\n \t"), 2: ([0, 2], [], "menu\n \t\n"), 3: ([1, 3], [], "Menus\né")}
+
+
+def test_queries_remove_short_equal_lines(spark, tmp_path):
+    import corpus_pipeline
+    from tidefold.llm.queries import op7_segment_line_dedup
+
+    spark.createDataFrame([(1, "Menu\nfirst"), (2, "Menu\nsecond")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_equal for r in op7_segment_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+    docs = spark.createDataFrame([(1, "Menu\nfirst", 10), (2, "Menu\nsecond", 11)], "doc_id bigint, text string, n_chars bigint")
+    assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()} == {1: ("Menu\nfirst", 10), 2: ("second", 6)}

@@ -10,8 +10,10 @@ from tidefold.sources.checkpoints import checkpointed, written
 
 #: Edits (of one code point) up to which two lines count as the same.
 EDITS = 2
-#: Code points from which a line is looked at; shorter ones stay.
+#: Code points from which a line is compared by edits.
 LEAST = 40
+#: What a blank line is made of.
+_BLANK = " \t\r\x0b\x0c"
 #: A line's place is key * 2 ** 21 + its number: keys within 2 ** 42 either way, lines a text below 2 ** 21.
 _LINES = 1 << 21
 
@@ -97,11 +99,12 @@ def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 _BROADCAST_NUMBERS = 2_000_000
 
 
-def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, least: int = LEAST, carry: tuple[str, ...] = (), equal_least: int | None = None) -> DataFrame:
     """(key, text, carried, exact, near, kept): numbers (from 0) of the lines that an equal one, or one within `edits` edits, precedes; the text without them.
 
-    Lines are what line feeds separate; those under `least` code points stay. Order is by key, then place. Equal
-    lines are settled first, by their 128-bit hashes, pre-aggregated, so copies don't reach the join. Entries that
+    Lines are what line feeds separate. Those of `least` code points and more are compared by edits. Equal ones are
+    removed from `equal_least` code points (`least` if None; at 1 whatever their length); blank lines under `least`
+    always stay, as they part paragraphs. Order is by key, then place. Equal lines are settled first, by their 128-bit hashes, pre-aggregated, so copies don't reach the join. Entries that
     share a key with another line are kept, and decided in two steps: against the key's first line (linear in the
     key's rows; a group of near copies mostly ends here), then what is left against the earlier lines of the key whose
     letter counts are close enough. Numbers are shuffled, and the texts once; removed line numbers go along with
@@ -114,7 +117,10 @@ def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     carried = F.struct(*[docs[c].alias(c) for c in carry]) if carry else F.lit(None).cast("string")
     read = docs.select(docs[key].cast("bigint").alias("key"), text_of(docs, text).alias("text"), carried.alias("carried"))
     named = read.where("key is not null").select("key", "text")
-    lines = named.select("key", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(F.length("line") >= least)
+    looked = F.length("line") >= least
+    if equal_least is not None and equal_least < least:
+        looked = looked | ((F.length("line") >= equal_least) & (F.trim(F.col("line"), F.lit(_BLANK)) != ""))
+    lines = named.select("key", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(looked)
     hashed = lines.select(_place("key", "n").alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     first = hashed.groupBy("h", "g").agg(F.min("place").alias("first"))
     later = hashed.join(first, ["h", "g"]).where("place <> first").select("place")

@@ -75,7 +75,7 @@ def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.near_duplicate_lines(table(spark, sf_dir, "documents"), equal_least=1)
     return found.select(
         F.col("key").alias("doc_id"),
         F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
