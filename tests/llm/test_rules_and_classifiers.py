@@ -144,3 +144,32 @@ def test_licences(spark):
     wrong = {k for k in want if got[k] != want[k]}
     assert not wrong & {*range(100, 204)} and len(wrong) <= 1, {k: (got[k], want[k]) for k in wrong}
     assert license_scan.licences(docs.limit(0), license_scan.train(docs.limit(0))).collect() == []
+
+
+def test_licences_without_usual_words(spark):
+    rnd = random.Random(4)
+    noise = " ".join(rnd.choice(WORDS) for _ in range(60))
+    texts = {
+        "Available under CC BY-SA 4.0.": "CC-BY-SA",
+        "Released under CC BY 4.0.": "CC-BY",
+        "This article is available under CC BY-SA 4.0.": "CC-BY-SA",
+        f"{noise} this library is licensed under the GNU Lesser General Public License, version 2.1, {noise}": "LGPL",
+        f"{noise} under {noise} cc {noise} by": None,
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.key: {f.family for f in r.found} for r in license_scan.licences(docs, license_scan.train(docs.limit(0))).collect()}
+    assert got == {k: {f} - {None} for k, f in enumerate(texts.values())}
+
+
+def test_prefilter_passes_what_can_be_confirmed():
+    rnd = random.Random(5)
+    seen = 0
+    for _ in range(4000):
+        words = license_scan.words_of(rnd.choice(rnd.choice([*license_scan.TEMPLATES.values()])))
+        lost = {w for w in words if rnd.random() < 0.3}
+        s = " ".join("x" if w in lost else w for w in words)
+        grams = license_scan.ngrams(license_scan.words_of(s))
+        if any(license_scan._similarity(grams, len(words), ts) >= license_scan.CONFIRM for ts in license_scan._TEMPLATE_GRAMS.values()):
+            seen += 1
+            assert license_scan._marked(s), s
+    assert seen > 500

@@ -85,7 +85,7 @@ TEMPLATES: dict[str, list[str]] = {
     ],
 }
 FAMILIES = ("unknown", *TEMPLATES)
-#: Share of a sentence's n-grams that the family's closest template must have, and of the template's that it must have.
+#: Least similarity (see _similarity) to the family's closest template.
 CONFIRM = 0.6
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t]+|\n")
@@ -111,13 +111,41 @@ class Model:
 
 
 def _similarity(grams: set[str], words: int, templates: list[tuple[set[str], int]]) -> float:
-    """Dice similarity to the closest template."""
-    return max(2 * len(grams & t) / (len(grams) + len(t)) for t, _ in templates) if words else 0.0
+    """To the closest template: Dice, or, for a sentence of more n-grams than the template, the share of the template's that it has."""
+    return max(2 * len(grams & t) / (min(len(grams), len(t)) + len(t)) for t, _ in templates) if words else 0.0
 
 
 _TEMPLATE_GRAMS = {f: [(ngrams(words_of(t)), len(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()}
-#: A licence sentence has this word or pair: all templates do, so sentences without are not scored at all.
-_MARKS = re.compile(r"licen[sc]|copyright|redistribut|permission|warrant|public domain|rights reserved|proprietary|copy|cc0|creative commons", re.I)
+
+
+def _needed(template: str) -> set[str]:
+    """Words, long ones first, one of which a sentence must have to be confirmed by the template.
+
+    Without them it shares at most r of the template's t n-grams, so its similarity is at most 2 r / (r + t).
+    """
+    words = words_of(template)
+    grams = ngrams(words)
+
+    def enough(chosen: set[str]) -> bool:
+        rest = sum(chosen.isdisjoint(g.split()) for g in grams)
+        return 2 * rest < CONFIRM * (rest + len(grams))
+
+    chosen: set[str] = set()
+    for w in (order := sorted({*words}, key=lambda w: (-len(w), w))):
+        if not enough(chosen):
+            chosen.add(w)
+    for w in order:
+        if enough(chosen - {w}):
+            chosen -= {w}
+    return chosen
+
+
+#: What has none of these words can't be confirmed by any template, so it is not scored.
+_MARKS = frozenset().union(*(_needed(t) for ts in TEMPLATES.values() for t in ts))
+
+
+def _marked(text: str) -> bool:
+    return not _MARKS.isdisjoint(words_of(text))
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = 4000, seed: int = 2) -> Model:
@@ -193,8 +221,8 @@ def licences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
     Sentences are classified one by one, so a notice at the head of a long paragraph is found; a paragraph's verdict
     is its most probable sentence. A prediction stands if it is likelier than unknown and its family's closest
-    template has a Dice similarity of CONFIRM or more. Every template has one of the words that mark a licence;
-    sentences with none can't be confirmed and are not scored. Null and empty texts have no paragraphs; repeated
+    template has a similarity of CONFIRM or more (Dice; of longer sentences, the share of the template they have).
+    Sentences without any of the words of which a template needs one can't reach that and are not scored. Null and empty texts have no paragraphs; repeated
     keys are kept as they come; an empty table gives no rows; other columns are not read.
     """
 
@@ -206,11 +234,11 @@ def licences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
             for t in b.column("text").to_pylist():
                 lines = [x for x in t.split("\n") if x.strip()]
                 hits = []
-                if _MARKS.search(t):
+                if _marked(t):
                     for k, line in enumerate(lines):
                         best = None
-                        for s in _SENTENCE.split(line) if _MARKS.search(line) else ():
-                            if not _MARKS.search(s):
+                        for s in _SENTENCE.split(line) if _marked(line) else ():
+                            if not _marked(s):
                                 continue
                             if s not in cache:
                                 if len(cache) > 100_000:
