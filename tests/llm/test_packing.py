@@ -21,6 +21,16 @@ def test_ids_equal_the_tokenizer():
     assert e.encode(texts) == want and e.encode(texts) == want
 
 
+def test_ids_equal_a_fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(2)
+    texts = ["end<|endoftext|>start", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext", *("".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 30))) for _ in range(1000))]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert len(want[0]) == 4 * 3
+    assert Encoder(PATH).encode(texts) == want
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_windows_are_full_and_cover_once(seed):
     rnd = random.Random(seed)

@@ -28,8 +28,9 @@ class Encoder:
     """Byte-level BPE ids by the `tokenizers` library, each distinct word's looked up once.
 
     The tokenizer first cuts a text before every single space or line feed, so a text's ids are those of its words
-    in a row; texts with adjacent white space are encoded whole. Unknown words are encoded together, as one text,
-    and told apart by their tokens' offsets. The cache holds at most _CACHE words and those of one block.
+    in a row; texts with adjacent white space, or with one of the file's added tokens (an id of its own, as is the
+    library's default), are encoded whole. Unknown words are encoded together, as one text, and told apart by their
+    tokens' offsets. The cache holds at most _CACHE words and those of one block.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,7 +38,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -70,7 +71,7 @@ class Encoder:
         if len(self.cache) > _CACHE:
             self.cache.clear()
         out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t) or t[:1] in _ODD_ENDS or t[:1].isspace()]
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t) or self.added.search(t) or t[:1] in _ODD_ENDS or t[:1].isspace()]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         cut = [None if o is not None else t.replace("\n", " \n").split(" ") for t, o in zip(texts, out, strict=True)]
