@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +39,12 @@ def apply(line: Timeline | None, row: dict, fold: Fold, horizon: int, interval:
     if op == "event":
         if line is None:
             line, _ = opened(sid, fold, horizon, interval)
-        _, change = line.event(row["time"], row["event_id"], row["value"])
+        _, change = line.event(row["time"], row["event_id"], row.get("value"))
     elif op == "snapshot":
         if line is None:
-            line, _ = opened(sid, fold, horizon, interval, snapshot=row["value"])
+            line, _ = opened(sid, fold, horizon, interval, snapshot=row.get("value"))
         else:
-            _, change = line.snapshot(sid, row["time"], row["value"])
+            _, change = line.snapshot(sid, row["time"], row.get("value"))
     elif op == "advance":
         if line is not None:
             line.advance(row["delta"])
@@ -53,6 +53,30 @@ def apply(line: Timeline | None, row: dict, fold: Fold, horizon: int, interval:
     return line, change and (row["seq"], "change", sid, None, change.from_time, change.to_time, None, None)
 
 
+#: RESULTS as Arrow knows it.
+_ARROW = pa.schema([(c.split()[0], {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in RESULTS.split(", ")])
+
+
+def results(rows: list[tuple]) -> pa.RecordBatch:
+    """Result rows as Arrow: numbers never pass through floating point."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(_ARROW)
+    return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+def run_log(batches: Iterable[pa.RecordBatch], fold: Fold, horizon: int, interval: int) -> Iterator[pa.RecordBatch]:
+    """Results of a log sorted by entity and seq; one timeline is held at a time."""
+    line, now = None, None
+    for b in batches:
+        out = []
+        for row in b.to_pylist():
+            if row["snapshot_id"] != now:  # the entity before is done
+                line, now = None, row["snapshot_id"]
+            line, result = apply(line, row, fold, horizon, interval)
+            if result:
+                out.append(result)
+        yield results(out)
+
+
 def replay(commands: DataFrame, fold: Fold | None = None, horizon: int = 0, interval: int = 100) -> DataFrame:
     """Results of the log's queries and the changes its late events and snapshots report (RESULTS).
 
@@ -60,19 +84,4 @@ def replay(commands: DataFrame, fold: Fold | None = None, horizon: int = 0, inte
     one entity is one task; its rows arrive in batches and only its timeline is held.
     """
     fold = fold or signed_sum()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines: dict[int, Timeline | None] = {}
-        now = None
-        names = [c.split()[0] for c in RESULTS.split(", ")]
-        for frame in batches:
-            out = []
-            for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-                if row["snapshot_id"] != now:  # rows are sorted by entity: the one before is done
-                    lines, now = {row["snapshot_id"]: None}, row["snapshot_id"]
-                lines[now], result = apply(lines[now], {k: int(v) if isinstance(v, float) else v for k, v in row.items()}, fold, horizon, interval)
-                if result:
-                    out.append(result)
-            yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c not in ("kind", "found")} | {"found": "boolean"})
-
-    return with_advances(commands).repartition("snapshot_id").sortWithinPartitions("snapshot_id", "seq").mapInPandas(run, RESULTS)
+    return with_advances(commands).repartition("snapshot_id").sortWithinPartitions("snapshot_id", "seq").mapInArrow(lambda it: run_log(it, fold, horizon, interval), RESULTS)

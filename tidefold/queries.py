@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -315,18 +314,24 @@ def compat_changes(spark, sf_dir):
     return replay(log).where("kind = 'change'").select("snapshot_id", "from_time", "to_time")
 
 
-@_query(f"SELECT sid AS snapshot_id, CAST(sum(CASE WHEN event_type IN ('error', 'view') THEN -v ELSE v END) AS BIGINT) AS state, true AS found FROM ({_EVENTS}) GROUP BY sid")
-def streaming_equals_batch(spark, sf_dir):
-    """The processor on a live stream of all events."""
-    from tidefold.sources.checkpoints import ensure_checkpoint_dir
+def _streamed(spark: SparkSession, log: DataFrame, **options) -> DataFrame:
+    """Results of a log that comes in as a stream, in two micro-batches by arrival."""
+    from tidefold.sources.checkpoints import scratch
     from tidefold.streaming.processor import configure, live
 
-    ensure_checkpoint_dir(spark)
     configure(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/stream-{next(tempfile._get_candidate_names())}"
+    folder = scratch(spark, "stream")
+    middle = log.agg(F.expr("percentile_approx(seq, 0.5, 100)")).first()[0] or 0
+    for part in (log.where(F.col("seq") <= middle), log.where(F.col("seq") > middle)):
+        part.repartition(2).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
+        running = live(source, shards=8, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@_query(f"SELECT sid AS snapshot_id, CAST(sum(CASE WHEN event_type IN ('error', 'view') THEN -v ELSE v END) AS BIGINT) AS state, true AS found FROM ({_EVENTS}) GROUP BY sid")
+def streaming_equals_batch(spark, sf_dir):
+    """The processor on a live stream of all events."""
     log = _commands(_events(spark, sf_dir), "user_id", "ts", "event_id", F.expr(SIGNED), F.col("event_id"))
-    log.repartition(2).write.parquet(f"{folder}/in")
-    source = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
-    running = live(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").where("kind = 'query'").select("snapshot_id", "state", "found")
+    return _streamed(spark, log).where("kind = 'query'").select("snapshot_id", "state", "found")

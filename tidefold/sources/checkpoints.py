@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-import os
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use `spark.checkpoint.dir`; only where it is unset (tests), set a folder of our own."""
+    """Use `spark.checkpoint.dir`; where it is unset, on one machine only, a folder in the warehouse."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.abspath("spark-warehouse/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        context.setCheckpointDir(folder)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder's path below the checkpoint folder; `clean` deletes it."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    _made.append((weakref.ref(spark), path))
+    return path
+
+
+_made: list[tuple] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the folders that `scratch` and `written` made in this session; what was read from them must be done."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [e for e in _made if e[0]() is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _made.remove(entry)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,7 +49,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As `checkpointed`, in Parquet: smaller, for results of many numbers."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    path = scratch(spark, "written")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,12 +1,13 @@
 """The machine on a live command stream: keyed state in transformWithState, one tagged output stream.
 
 State is kept in RocksDB (`configure`), in parts that mirror the machine: events by key, marks by key, and the base
-with the clock. Late events are never dropped, so there is no watermark. Within a micro-batch commands run in order
+with the clock. Commands travel as JSON texts, one each: pandas would pass numbers beside nulls through floating point. Late events are never dropped, so there is no watermark. Within a micro-batch commands run in order
 of seq; across batches order is that of the stream.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 import sys
 from collections.abc import Iterator
@@ -14,14 +15,18 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
 from tidefold.plans import machine, replay
 from tidefold.plans.machine import Fold, Timeline
 from tidefold.plans.replay import RESULTS, apply, signed_sum
 
 _KEY = StructType([StructField("time", LongType()), StructField("id", LongType())])
+_ID = StructType([StructField("id", LongType())])
+_SEEN = StructType([StructField("seen", BooleanType())])
+_TYPES = {c.split()[0]: {"bigint": "Int64", "string": "object", "boolean": "boolean"}[c.split()[1]] for c in RESULTS.split(", ")}
 _BLOB = StructType([StructField("data", BinaryType())])
 
 
@@ -60,27 +65,62 @@ class TimelineProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         line = self._load(key[0])
         events, marks = (dict(line.events), dict(line.marks)) if line else ({}, {})
-        frame = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        log = sorted((json.loads(text) for frame in rows for text in frame["command"]), key=lambda row: row["seq"])
         out = []
-        for row in frame.astype(object).where(frame.notna(), None).to_dict("records"):
-            line, result = apply(line, {k: int(v) if isinstance(v, float) else v for k, v in row.items()}, self.fold, self.horizon, self.interval)
+        for row in log:
+            line, result = apply(line, row, self.fold, self.horizon, self.interval)
             if result:
                 out.append(result)
         if line:
             self._store(line, events, marks)
-        names = [c.split()[0] for c in RESULTS.split(", ")]
-        yield pd.DataFrame(out, columns=names).astype({c: "Int64" for c in names if c not in ("kind", "found")} | {"found": "boolean"})
+        columns = list(zip(*out, strict=True)) if out else [()] * len(_TYPES)
+        yield pd.DataFrame({name: pd.array(list(c), dtype) for (name, dtype), c in zip(_TYPES.items(), columns, strict=True)})
 
     def close(self) -> None:
         pass
 
 
-def live(commands: DataFrame, fold: Fold | None = None, horizon: int = 0, interval: int = 100) -> DataFrame:
+class AdvanceDealer(StatefulProcessor):
+    """One shard of entities: what comes for them passes through, an advance goes to each that is known by then."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", _ID, _SEEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        log = sorted((json.loads(text) for frame in rows for text in frame["command"]), key=lambda row: row["seq"])
+        known = None
+        for row in log:
+            if row["op"] == "advance" and "snapshot_id" not in row:
+                known = [k[0] for k in self.known.keys()] if known is None else known
+                out = [(sid, json.dumps(row | {"snapshot_id": sid})) for sid in known]
+            else:
+                sid = row["snapshot_id"]
+                if row["op"] in ("event", "snapshot") and not self.known.containsKey((sid,)):
+                    self.known.updateValue((sid,), (True,))
+                    if known is not None:
+                        known.append(sid)
+                out = [(sid, json.dumps(row))]
+            if out:
+                yield pd.DataFrame(out, columns=["snapshot_id", "command"])
+
+    def close(self) -> None:
+        pass
+
+
+def live(commands: DataFrame, fold: Fold | None = None, horizon: int = 0, interval: int = 100, shards: int = 64) -> DataFrame:
     """A stream of results (RESULTS) for a stream of commands; kind tells query results from changes.
 
-    Advances must be dealt to their entities beforehand (`plans.replay.with_advances` does that for a table).
+    Advances without an entity reach every entity known when they come, as in a batch: each goes to all `shards` by
+    which entities are dealt, and a first stateful step there names the entities. `shards` bounds that step's
+    parallelism and must stay the same over a stream's life.
     """
     # the process that sets the processor up on the driver doesn't share its import path: send the code along
     for module in (sys.modules[__name__], machine, replay):
-        cloudpickle.register_pickle_by_value(module)
-    return commands.groupBy("snapshot_id").transformWithStateInPandas(TimelineProcessor(fold, horizon, interval), RESULTS, "Append", "None")
+        if module.__name__ not in cloudpickle.list_registry_pickle_by_value():
+            cloudpickle.register_pickle_by_value(module)
+    text = F.to_json(F.struct("seq", "op", "snapshot_id", "time", "event_id", "value", "delta")).alias("command")
+    everywhere = (F.col("op") == "advance") & F.col("snapshot_id").isNull()
+    own = F.array(F.pmod(F.xxhash64("snapshot_id"), F.lit(shards)).cast("int"))
+    sent = commands.select(F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(own)).alias("shard"), text)
+    dealt = sent.groupBy("shard").transformWithStateInPandas(AdvanceDealer(), "snapshot_id bigint, command string", "Append", "None")
+    return dealt.groupBy("snapshot_id").transformWithStateInPandas(TimelineProcessor(fold, horizon, interval), RESULTS, "Append", "None")
