@@ -18,7 +18,7 @@ def test_ids_equal_the_tokenizer():
     texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 30))) for _ in range(4000)] + ["", " ", "\n"]
     e = Encoder(PATH)
     want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == want and e.encode(texts) == want
+    assert e.fast is not None and [e.encode(t) for t in texts] == want
 
 
 def test_ids_equal_a_fresh_tokenizer():
@@ -28,7 +28,26 @@ def test_ids_equal_a_fresh_tokenizer():
     texts = ["end<|endoftext|>start", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext", *("".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, 30))) for _ in range(1000))]
     want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
     assert len(want[0]) == 4 * 3
-    assert Encoder(PATH).encode(texts) == want
+    e = Encoder(PATH)
+    assert [e.encode(t) for t in texts] == want
+
+
+def test_ids_of_all_letters_and_of_long_runs():
+    e = Encoder(PATH)
+    texts = ["".join(f"a{c}b {c}1{c} {c}!{c}'" for c in map(chr, range(k, k + 256))) for k in range(0, 0x30000, 256) if not 0xD800 <= k < 0xE000]
+    texts += [" " * 1_200_000 + "x", "a" * 200_000, "é" * 100_000, "\n" * 1_200_000]
+    want = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [e.encode(t) for t in texts] == want
+
+
+def test_other_kinds_of_files_are_left_to_the_library(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    (tmp_path / "swapped.json").write_text(json.dumps(spec))
+    e = Encoder(str(tmp_path / "swapped.json"))
+    assert e.fast is None and e.encode("The end") == np.array(e.tokenizer.encode("The end").ids, "<u4").tobytes()
 
 
 @pytest.mark.parametrize("seed", range(30))
@@ -74,6 +93,6 @@ def test_round_trip(spark):
         assert [p.offset for p in own] == [0, *np.cumsum([p.length for p in own])[:-1]] and sum(p.length for p in own) == own[0].tier
     for key, text in ((1, "one two three"), (3, "word " * 5000), (None, "no key")):
         own = sorted((p for p in pieces if p.key == key), key=lambda p: p.start)
-        assert b"".join(p["ids"] for p in own) == t.encode([text])[0] + bytes(4)
+        assert b"".join(p["ids"] for p in own) == t.encode(text) + bytes(4)
     assert [(p.start, p.length, zlib.crc32(p["ids"])) for p in pieces if p.key == 2] == [(0, 1, zlib.crc32(bytes(4)))] * 2
     assert pack(docs.limit(0), PATH).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -35,3 +36,12 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int, column: str) -> It
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def trim() -> None:
+    """Give a Python worker's free memory back: workers stay, and their peaks would add up over the steps of a job."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

@@ -2,35 +2,63 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tidefold.llm.common import slices, text_of
+from tidefold.llm.common import slices, text_of, trim
 
 TIERS = (1024, 512, 256, 128)
 #: Sequences of one tier that make a step group.
 GROUP = 8
-_BLOCK_BYTES = 8 << 20
-_CACHE = 1_000_000
-#: Where no white space follows a space or a line feed, or comes before a line feed, each of them starts a piece of its own.
-_ODD = re.compile(r"[\s\x1c-\x1f\x85][\s\x1c-\x1f\x85]")
-_SIGNS = ".,;:!?#*$%&|<>()[]"
-_ODD_ENDS = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+_BLOCK_BYTES = 4 << 20
+#: How byte-level BPE cuts a text before merging (a fixed value of the format).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter by which a byte-level vocabulary writes each byte: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(c): b for b, c in [*zip(plain, plain, strict=True), *((b, 256 + k) for k, b in enumerate(rest))]}
+
+
+def _fast(path: str) -> tiktoken.Encoding | None:
+    """The same byte-level BPE as a tiktoken encoding; None if the file is of another kind.
+
+    tiktoken joins whatever neighbours make a token, the file only its listed pairs. Both give the same ids if ids
+    rise with the merges, one merge to a token, and every token's own bytes encode to it alone: neighbours x and y
+    that make a token by another split would need a lesser merge across them not to have happened, yet it did when
+    the token's own bytes were encoded.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec.get("normalizer") or model.get("ignore_merges"):
+        return None
+    vocabulary, letters = model["vocab"], _byte_letters()
+    merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(a >= b for a, b in zip(merged, merged[1:], strict=False)) or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return None
+    tokens = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if all(c in letters for c in token)}
+    if len({*merged}) + 256 != len(tokens) or any(bytes([b]) not in tokens for b in range(256)):
+        return None
+    found = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=tokens, special_tokens={})
+    return found if all(found._core_bpe.encode_single_piece(t) == [i] for t, i in tokens.items()) else None
 
 
 class Encoder:
-    """Byte-level BPE ids by the `tokenizers` library, each distinct word's looked up once.
+    """Byte-level BPE ids as the `tokenizers` library gives them, by tiktoken where that is proven equal (see `_fast`).
 
-    The tokenizer first cuts a text before every single space or line feed, so a text's ids are those of its words
-    in a row; texts with adjacent white space, or with one of the file's added tokens (an id of its own, as is the
-    library's default), are encoded whole. Unknown words are encoded together, as one text, and told apart by their
-    tokens' offsets. The cache holds at most _CACHE words and those of one block.
+    Texts with one of the file's added tokens (an id of its own, as is the library's default), and those that
+    tiktoken's pattern engine can't take (a million white spaces in a row), are encoded by the library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,71 +67,23 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _together(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that the tokenizer cuts apart where they stand in a row."""
-        out: list[bytes] = []
-        for k in range(0, len(pieces), 50_000):
-            own = pieces[k : k + 50_000]
-            e = self.tokenizer.encode("".join(own), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            starts = np.cumsum([0, *map(len, own)])
-            at = (4 * np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), starts)).tolist()
-            at[-1] = 4 * len(ids)
-            data = ids.tobytes()
-            out += [data[x:y] for x, y in zip(at, at[1:], strict=False)]
-        return out
-
-    def _learn(self, words: set[str], piece: Callable[[str], str], drop: int) -> dict[str, bytes]:
-        """Ids of words by way of their pieces, without the last `drop` bytes; single white space and words that end in such stand alone."""
-        plain = [w for w in words if w and not w[-1].isspace() and w[-1] not in _ODD_ENDS]
-        out = dict(zip(plain, (x[: len(x) - drop] for x in self._together([piece(w) for w in plain])), strict=True))
-        alone = list(words.difference(out))
-        out.update(zip(alone, (x[: len(x) - drop] for x in self._whole([piece(w) for w in alone])), strict=True))
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.cache) > _CACHE:
-            self.cache.clear()
-        out: list[bytes | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t) or self.added.search(t) or t[:1] in _ODD_ENDS or t[:1].isspace()]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        cut = [None if o is not None else t.replace("\n", " \n").split(" ") for t, o in zip(texts, out, strict=True)]
-        first = [c.pop(0) if c else "" for c in cut]
-        self._words(set().union(*filter(None, cut)).difference(self.cache))
-        ends = {w for w in first if w and (w[-1].isspace() or w[-1] in _ODD_ENDS)}
-        head = dict(zip(ends, self._whole(list(ends)), strict=True)) | {"": b""}
-        head |= self._learn(set(first).difference(head), lambda w: w + "\n", 4)
-        get = self.cache.__getitem__
-        for i, c in enumerate(cut):
-            if c is not None:
-                out[i] = head[first[i]] + b"".join(map(get, c))
-        return out
+        self.fast = _fast(path)
 
-    def _words(self, new: set[str]) -> None:
-        """Learn words; signs after a letter are tokenized apart from what they follow, so one stem serves all its endings."""
-        stems: dict[str, str] = {}
-        for w in new:
-            if w and w[-1] in _SIGNS and (stem := w.rstrip(_SIGNS)) and stem[-1].isalpha():
-                stems[w] = stem
-        signs = {w[len(stem) :] for w, stem in stems.items()}
-        tail = dict(zip(signs, self._whole(list(signs)), strict=True))
-        words = new.difference(stems).union(stems.values()).difference(self.cache)
-        self.cache.update(self._learn(words, lambda w: w if w[:1] == "\n" else " " + w, 0))
-        self.cache.update({w: self.cache[stem] + tail[w[len(stem) :]] for w, stem in stems.items()})
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit numbers."""
+        if self.fast and not self.added.search(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            except ValueError:
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder for a file: tasks that follow each other in a worker share its cache."""
+    """The process's encoder for a file: tasks that follow each other in a worker share it."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -250,7 +230,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         for b in slices(batches, _BLOCK_BYTES, "text"):
             key_type = b.schema.field("key").type
             windows = []
-            for name, ids in zip(b.column("key").to_pylist(), encode(b.column("text").to_pylist()), strict=True):
+            for name, ids in zip(b.column("key").to_pylist(), map(encode, b.column("text").to_pylist()), strict=True):
                 data[number] = (name, ids + eos)
                 windows += packer.add(number, len(ids) // 4 + 1)
                 number += 1
@@ -259,6 +239,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
             data = {k: v for k, v in data.items() if k in waiting}
         if data:
             yield rows(packer.rest())
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("key"), text_of(docs, text).alias("text")).mapInArrow(run, f"key {kind}, {SCHEMA}")
