@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,43 +11,71 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import LOWER, slices, text_of, utf8_values
+from tidefold.llm.common import LOWER, slices, text_of, trim, utf8_values
 from tidefold.llm.components import connected_components
 from tidefold.sources.checkpoints import checkpointed
 
 SEED = 42
-_BATCH = 4 << 20
-
-
-def shingle_hashes(text: bytes, size: int) -> list[int]:
-    """XXH64 (seed 42) of every `size`-word shingle, repeats included; of the whole sequence where it has fewer words."""
-    words = text.translate(LOWER).split()
-    if not words:
-        return []
-    line = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(line, SEED)]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
+#: Bytes of text whose shingles are hashed at a time; a longer text is taken in pieces of this size.
+_BATCH = 256 << 10
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_hashes(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of every `size`-word shingle, repeats included; of the whole sequence where it has fewer words.
+
+    In pieces: a text of any length is cut at separators, and the last size - 1 words go over to the next piece.
+    """
     digest = xxhash.xxh64_intdigest
-    return [digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
+    carried: list[bytes] = []
+    at, whole = 0, True
+    while at < len(text):
+        end = at + _BATCH
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.start() if found else len(text)
+        words = carried + text[at:end].translate(LOWER).split()
+        at = end
+        if len(words) >= size:
+            line = b" ".join(words)
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            ends = np.cumsum(lengths)
+            rows = zip((ends - lengths)[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)
+            yield np.fromiter((digest(line[a:b], SEED) for a, b in rows), np.uint64, len(words) - size + 1)
+            whole = False
+        carried = words[max(0, len(words) - size + 1) :] if size > 1 else []
+    if whole and carried:
+        yield np.array([digest(b" ".join(carried), SEED)], np.uint64)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit hashes, a row each."""
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
 def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
     """A 64-bit fingerprint for each text: a bit is 1 if set in over half its shingle hashes; 0 without words."""
-    hashes = [shingle_hashes(t, size) for t in texts]
-    counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    out = np.zeros(len(texts), np.uint64)
-    some = np.flatnonzero(counts)
-    if len(some):
-        flat = np.fromiter((h for one in hashes for h in one), np.uint64, int(counts.sum()))
-        bits = np.unpackbits(flat.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        starts = np.concatenate(([0], np.cumsum(counts[some])[:-1]))
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        majority = (2 * ones > counts[some, None]).astype(np.uint8)
-        out[some] = np.packbits(majority, axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    counts = np.zeros(len(texts), np.int64)
+    ones = np.zeros((len(texts), 64), np.int64)
+    held: list[np.ndarray] = []
+    owner: list[int] = []
+
+    def add() -> None:
+        if held:
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            np.add.at(ones, owner, np.add.reduceat(_ones(np.concatenate(held)), starts, axis=0, dtype=np.int64))
+            held.clear()
+            owner.clear()
+
+    for k, text in enumerate(texts):
+        for hashes in shingle_hashes(text, size):
+            counts[k] += len(hashes)
+            held.append(hashes)
+            owner.append(k)
+            if len(hashes) > 8192:
+                add()
+    add()
+    return np.packbits((2 * ones > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
@@ -55,6 +84,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, _BATCH, "text"):
             yield pa.record_batch([b.column("key"), pa.array(fingerprints_of(utf8_values(b.column("text")), size).view(np.int64))], ["key", "fp"])
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("key"), text_of(docs, text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint")
