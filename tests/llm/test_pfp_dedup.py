@@ -93,14 +93,21 @@ def test_chunks_make_no_difference(monkeypatch):
     rows = [(k, (t or "").encode()) for k, t in corpus(11) if k is not None]
     batch = lambda extra: pa.record_batch([pa.array([k for k, _ in rows]), pa.array(range(len(rows)), pa.int32()), pa.array([t.decode() for _, t in rows]), *extra.values()], ["key", "th", "text", *extra])
 
-    def chain(chunk, size):
+    def chain(chunk, size, most=1 << 30):
         monkeypatch.setattr(pfp_dedup, "_CHUNK", chunk)
         monkeypatch.setattr(pfp_dedup, "_SLICE", size)
+        monkeypatch.setattr(pfp_dedup, "_HOT", most)
         found = [x for b in pfp_dedup._shared(pfp_dedup._parsed([batch({})], 1)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        anchors = [sorted({v for k, th, v in found if v >= 0 and th == i}) for i in range(len(rows))]
-        spans = {x for x in found if x[2] < 0}
-        around = pfp_dedup._contexts([batch({"anchors": pa.array(anchors, pa.list_(pa.int64()))})], 1)
-        spans |= {x for b in pfp_dedup._repeats(around) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        busy = [x for x in found if pfp_dedup._BUSY <= x[2] < pfp_dedup._SETTLED]
+        assert bool(busy) == (most < 1 << 30)
+        found = [x for x in found if x not in busy]
+        hot = np.array(sorted(x[2] ^ pfp_dedup._BUSY for x in busy), np.int64)
+        anchors = [sorted({(v, tag) for k, th, v, tag in found if v >= 0 and th == i}) for i in range(len(rows))]
+        spans = {x[:3] for x in found if x[2] < 0}
+        kind = pa.list_(pa.struct([("value", pa.int64()), ("tag", pa.int64())]))
+        asked = pa.array([[{"value": v, "tag": t} for v, t in own] for own in anchors], kind)
+        around = pfp_dedup._contexts([batch({"anchors": asked})], 1, hot)
+        spans |= {x[:3] for b in pfp_dedup._repeats(around) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
         covered = {i: set() for i in range(len(rows))}
         for _, th, v in spans:
             start, n = (-1 - v) >> 31, (-1 - v) & 0x7FFFFFFF
@@ -108,4 +115,48 @@ def test_chunks_make_no_difference(monkeypatch):
         return covered
 
     whole = chain(1 << 30, 1 << 30)
-    assert chain(1, 700) == whole and any(whole.values())
+    assert any(whole.values())
+    for chunk, size, most in ((1, 700, 1 << 30), (1 << 30, 90, 1 << 30), (1, 200, 2), (5000, 1 << 20, 3)):
+        assert chain(chunk, size, most) == whole
+
+
+def test_one_text_in_pieces(monkeypatch):
+    """Pieces of a long text hold each of its windows once."""
+    monkeypatch.setattr(pfp_dedup, "_SLICE", 64)
+    text = bytes(random.Random(0).choice(b"abc") for _ in range(1000))
+    for n in (0, 49, 50, 64, 65, 112, 113, 114, 1000):
+        out, doc, start = pfp_dedup.pieces([text[:n]])
+        assert [a + i for p, a in zip(out, start.tolist(), strict=True) for i in range(max(0, len(p) - 49))] == list(range(max(0, n - 49)))
+        assert not doc.any() and all(text[a : a + len(p)] == p for p, a in zip(out, start.tolist(), strict=True))
+
+
+def test_colliding_context_tags_are_not_needed_for_other_windows(monkeypatch):
+    """Windows that no tag settles are compared by their bytes: with every tag different, the result is the same."""
+    import pyarrow as pa
+
+    rows = [(k, (t or "").encode()) for k, t in corpus(5) if k is not None]
+    batch = lambda extra: pa.record_batch([pa.array([k for k, _ in rows]), pa.array(range(len(rows)), pa.int32()), pa.array([t.decode() for _, t in rows]), *extra.values()], ["key", "th", "text", *extra])
+
+    def spans():
+        found = [x for b in pfp_dedup._shared(pfp_dedup._parsed([batch({})], 1)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        kind = pa.list_(pa.struct([("value", pa.int64()), ("tag", pa.int64())]))
+        asked = pa.array([[{"value": v, "tag": t} for v, t in sorted({(x[2], x[3]) for x in found if x[2] >= 0 and x[1] == i})] for i in range(len(rows))], kind)
+        out = {x[1:3] for x in found if x[2] < 0}
+        out |= {x[1:3] for b in pfp_dedup._repeats(pfp_dedup._contexts([batch({"anchors": asked})], 1, np.empty(0, np.int64))) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+        return {(th, p) for th, v in out for p in range((-1 - v) >> 31, ((-1 - v) >> 31) + ((-1 - v) & 0x7FFFFFFF))}
+
+    want, counter = spans(), iter(range(1 << 40))
+    monkeypatch.setattr(pfp_dedup.Parse, "context_tags", lambda self, texts, which: np.array([next(counter) for _ in self.at[which]], np.uint64))
+    assert spans() == want
+
+
+def test_more_rows_than_two_bytes_can_number(spark):
+    """72,000 equal texts in one batch: all but the first go."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        df = spark.range(72000, numPartitions=1).selectExpr("id AS doc_id", "repeat('abcde', 11) AS text")
+        got = repeated_substrings(df).selectExpr("count_if(octet_length(kept) = 0) AS n", "max_by(key, octet_length(kept)) AS first").first()
+        assert (got.n, got.first) == (71999, 0)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -1,12 +1,13 @@
-"""Exact substring dedup by prefix-free parsing: phrases first, then suffix arrays of what distinct phrases share.
+"""Substring dedup by prefix-free parsing: a dictionary of phrases, the parse, and the corpus order of both together.
 
 A text is cut into phrases at triggers, places chosen by a hash of the bytes that follow, so that equal passages
-are cut alike. A phrase's tag is the hash of its bytes with enough context on both sides to hold every window that
-belongs to it. Of a phrase found in several documents, all but the first need no closer look: all their windows
-are repeats. The first occurrences form the dictionary. Two windows in different phrases of the dictionary can be
-equal only if the phrases share the windows' anchor; around such anchors the dictionary's suffixes are put into
-lexicographic order, runs of equal windows are read off, and the parse (which document a phrase comes first in)
-orders each run: its first document keeps the bytes, all later ones lose them.
+are cut alike. A phrase's tag is the 128-bit hash of its bytes with enough context on both sides to hold every
+window that belongs to it. Of a phrase found in several documents, all but the first need no closer look: all
+their windows are repeats. The first occurrences go on. Two windows in different phrases can be equal only if the
+phrases share the windows' anchor; around such anchors each task holds a dictionary of distinct contexts and a
+parse, the documents' occurrences of them. The dictionary's suffix array and the parse's order (by context, then
+document) combine into the corpus order of all windows: runs of equal ones, documents rising within each. A run's
+first document keeps the bytes, all later ones lose them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import slices, text_of, utf8_values
+from tidefold.llm.common import slices, text_of, trim, utf8_values
 from tidefold.sources.checkpoints import written
 
 LENGTH = 50
@@ -29,8 +30,14 @@ LENGTH = 50
 ANCHOR = 16
 #: One anchor in so many starts a phrase.
 PERIOD = 16
-_SLICE = 4 << 20
-_CHUNK = 8 << 20
+#: Bytes of text parsed at a time; a longer text is parsed in pieces of this size, so memory doesn't grow with it.
+_SLICE = 1 << 20
+#: Bytes of records looked at together.
+_CHUNK = 4 << 20
+#: Records of one anchor from which its contexts may be dealt by more than the anchor: if they are also more than one
+#: in _MOST_HOT of all, so that no more than _MOST_HOT anchors can be such.
+_HOT = 4096
+_MOST_HOT = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 _48 = np.uint64((1 << 48) - 1)
@@ -53,22 +60,35 @@ def _slide(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Parse:
-    """Anchors of a slice of documents, in order, and the phrases they fall into. Positions count from the document's start."""
+    """Anchors of pieces of documents, in order, and the phrases they fall into. Positions count from the piece's start."""
 
-    doc: np.ndarray
+    piece: np.ndarray
     at: np.ndarray
     first: np.ndarray  # windows first..last have this anchor
     last: np.ndarray
     hash: np.ndarray
     phrase: np.ndarray
-    tag: np.ndarray  # of each phrase
+    tag: np.ndarray  # of each phrase, two numbers
     head: np.ndarray  # first anchor of each phrase
 
     def context_tags(self, texts: list[bytes], which: np.ndarray) -> np.ndarray:
         """For anchors the hash of the bytes that their windows cover: equal tags mean equal windows."""
-        digest = xxhash.xxh64_intdigest
-        rows = zip(self.doc[which].tolist(), self.first[which].tolist(), (self.last[which] + LENGTH).tolist(), (self.at - self.first)[which].tolist(), strict=True)
-        return np.fromiter((digest(texts[d][x:y], a) for d, x, y, a in rows), np.uint64, int(which.sum()))
+        digest = xxhash.xxh3_64_intdigest
+        rows = zip(self.piece[which].tolist(), self.first[which].tolist(), (self.last[which] + LENGTH).tolist(), (self.at - self.first)[which].tolist(), strict=True)
+        return np.fromiter((digest(texts[d][x:y], a) for d, x, y, a in rows), np.uint64, len(self.at[which]))
+
+
+def pieces(texts: list[bytes], length: int = LENGTH) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(pieces, document of each, its start): texts of at most _SLICE bytes whole; of longer ones each window lies in exactly one piece."""
+    out, doc, start = [], [], []
+    for d, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - length + 1), _SLICE):
+            out.append(t if len(t) <= _SLICE else t[a : a + _SLICE + length - 1])
+            doc.append(d)
+            start.append(a)
+            if len(t) <= _SLICE:
+                break
+    return out, np.array(doc, np.int64), np.array(start, np.int64)
 
 
 def parse(texts: list[bytes], length: int = LENGTH) -> Parse | None:
@@ -76,9 +96,9 @@ def parse(texts: list[bytes], length: int = LENGTH) -> Parse | None:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    data = b"".join(texts)
     if not len(sizes) or sizes.max() < length:
         return None
+    data = b"".join(texts)
     n = len(data) - ANCHOR + 1
     w = _words(data)
     h = w[:n] * _MIX[0]
@@ -97,21 +117,21 @@ def parse(texts: list[bytes], length: int = LENGTH) -> Parse | None:
     o = (owner[v] & _LOW).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
     a, first, last = o[new], v[new], v[np.append(new[1:], len(v)) - 1]
-    doc = np.searchsorted(ends, a, side="right")
+    piece = np.searchsorted(ends, a, side="right")
     ha = h[a]
-    other = np.concatenate(([True], doc[1:] != doc[:-1]))
+    other = np.concatenate(([True], piece[1:] != piece[:-1]))
     begins = other | ((ha >> np.uint64(8)) % np.uint64(PERIOD) == 0)
     head = np.flatnonzero(begins)
-    d = doc[head]
+    d = piece[head]
     same_before, same_after = ~other[head], np.append(~other[head[1:]], False)
     pa_, pe = a[head], np.append(a[head[1:]], 0)
     lo = np.where(same_before, np.maximum(pa_ - (length - ANCHOR), starts[d]), starts[d])
     hi = np.where(same_after, np.minimum(pe + length, ends[d]), ends[d])
     core = np.stack((pa_ - lo, np.where(same_after, pe - lo, -1)), 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    tag = np.fromiter((digest(data[x:y], p << 32 | q & 0xFFFFFFFF) for x, y, (p, q) in zip(lo.tolist(), hi.tolist(), core, strict=True)), np.uint64, len(head))
-    base = starts[doc]
-    return Parse(doc, a - base, first - base, last - base, ha, np.cumsum(begins) - 1, tag, head)
+    digest = xxhash.xxh3_128_digest
+    tag = b"".join(digest(data[x:y], p << 32 | q & 0xFFFFFFFF) for x, y, (p, q) in zip(lo.tolist(), hi.tolist(), core, strict=True))
+    base = starts[piece]
+    return Parse(piece, a - base, first - base, last - base, ha, np.cumsum(begins) - 1, np.frombuffer(tag, "<u8").reshape(-1, 2), head)
 
 
 def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -137,23 +157,18 @@ def _unpack(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-_SETTLED = 1 << 62
-
-
-def _settled(anchor: np.ndarray, tag: np.ndarray) -> np.ndarray:
-    """An anchor in one context: 22 bits of its hash and the context's tag of 40."""
-    return _SETTLED | tag << 22 | anchor & 0x3FFFFF
-
+#: Bits of a found value that is an anchor (its hash of 48 bits): in this context it is settled; it has the records told by the tag.
+_SETTLED, _BUSY = 1 << 62, 1 << 61
 
 _ANCHORS, _PHRASES, _CONTEXTS, _DIRECT = 0, 1, 2, 3
 #: Columns of the records in a blob. Documents are places in the row's own table of keys and text hashes.
 _KINDS = {
-    _ANCHORS: ["<u4", "<u2", "<u4", "u1", "<u2"],
-    _PHRASES: ["<u8", "<u4", "<u4", "<u2"],
-    _CONTEXTS: [f"S{2 * LENGTH - ANCHOR}", "<u4", "u1", "u1", "<u2"],
-    _DIRECT: ["<u4", "<u4", "<u2"],
+    _ANCHORS: ["<u4", "<u2", "<u8", "<u4"],
+    _PHRASES: ["<u8", "<u8", "<u4", "<u4", "<u4"],
+    _CONTEXTS: [f"S{2 * LENGTH - ANCHOR}", "<u4", "u1", "u1", "<u4"],
+    _DIRECT: ["<u4", "<u4", "<u4"],
 }
-_FOUND = "k bigint, th int, value bigint"
+_FOUND = "k bigint, th int, value bigint, tag bigint"
 _ROWS = "bucket int, kind int, docs binary, blob binary"
 
 
@@ -162,7 +177,7 @@ def _blob_rows(kind: int, bucket: np.ndarray, columns: list[np.ndarray], doc: np
     for b, own in _by_bucket(bucket, [*columns, doc]):
         names, place = np.unique(own[-1], return_inverse=True)
         keys = table[names, 0]
-        yield b, kind, _pack([np.diff(keys, prepend=0), table[names, 1].astype("<i4")]), _pack([*own[:-1], place.astype("<u2")])
+        yield b, kind, _pack([np.diff(keys, prepend=0), table[names, 1].astype("<i4")]), _pack([*own[:-1], place.astype("<u4")])
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -170,10 +185,19 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["bucket", "kind", "docs", "blob"])
 
 
-def _least(group: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """For each element the least value of its group (equal neighbours in `group`)."""
-    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    return np.repeat(np.minimum.reduceat(values, heads), np.diff(np.append(heads, len(group))))
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group of equal neighbours begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _least(group: tuple[np.ndarray, ...], values: np.ndarray) -> np.ndarray:
+    """For each element the least value of its group (equal neighbours in all of `group`)."""
+    heads = _heads(*group)
+    return np.repeat(np.minimum.reduceat(values, heads), np.diff(np.append(heads, len(values)))) if len(values) else values
 
 
 def _table(b: pa.RecordBatch) -> np.ndarray:
@@ -186,28 +210,45 @@ def _slim(b: pa.RecordBatch, length: int) -> tuple[pa.RecordBatch, list[bytes]]:
     return b, utf8_values(b.column("text"))
 
 
+def _in_parts(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, Parse]]:
+    """(pieces, row of each, its start, their parse) for runs of pieces of at most _SLICE bytes about."""
+    b, texts = _slim(b, LENGTH)
+    cut, doc, start = pieces(texts)
+    del texts
+    at = 0
+    while at < len(cut):
+        size, end = len(cut[at]), at + 1
+        while end < len(cut) and size + len(cut[end]) <= 2 * _SLICE:
+            size += len(cut[end])
+            end += 1
+        p = parse(cut[at:end])
+        if p is not None:
+            yield cut[at:end], doc[at:end], start[at:end], p
+        at = end
+
+
 def _parsed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Phrases and anchors of each slice, dealt to buckets; copies within the slice are settled here."""
-    for b in slices(batches, _SLICE, "text"):
-        b, texts = _slim(b, LENGTH)
-        p = parse(texts)
-        if p is None:
-            continue
-        table = _table(b)
+    for whole in slices(batches, _SLICE, "text"):
+        table = _table(_slim(whole, LENGTH)[0])
         key = table[:, 0]
-        pd = p.doc[p.head]
-        start, end = p.first[p.head], p.last[np.append(p.head[1:], len(p.at)) - 1] + LENGTH
-        order = np.lexsort((key[pd], p.tag))
-        least = np.empty(len(order), np.int64)
-        least[order] = _least(p.tag[order], key[pd][order])
-        late = key[pd] > least
-        rows = list(_blob_rows(_DIRECT, np.zeros(int(late.sum()), np.int64), [start[late].astype("<u4"), end[late].astype("<u4")], pd[late], table))
-        own = ~late
-        rows += _blob_rows(_PHRASES, (p.tag[own] % np.uint64(buckets)).astype(np.int64), [p.tag[own], start[own].astype("<u4"), end[own].astype("<u4")], pd[own], table)
-        keep = own[p.phrase]
-        h, tag = p.hash[keep], p.context_tags(texts, keep)
-        rows += _blob_rows(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), (tag & _LOW).astype("<u4"), (tag >> np.uint64(32)).astype("u1")], p.doc[keep], table)
-        yield _emit(rows)
+        for texts, doc, base, p in _in_parts(whole):
+            pp = p.piece[p.head]
+            pd = doc[pp]
+            start, end = base[pp] + p.first[p.head], base[pp] + p.last[np.append(p.head[1:], len(p.at)) - 1] + LENGTH
+            one, two = p.tag[:, 0], p.tag[:, 1]
+            order = np.lexsort((key[pd], two, one))
+            least = np.empty(len(order), np.int64)
+            least[order] = _least((one[order], two[order]), key[pd][order])
+            late = key[pd] > least
+            rows = list(_blob_rows(_DIRECT, pd[late] % buckets, [start[late].astype("<u4"), end[late].astype("<u4")], pd[late], table))
+            own = ~late
+            rows += _blob_rows(_PHRASES, (one[own] % np.uint64(buckets)).astype(np.int64), [one[own], two[own], start[own].astype("<u4"), end[own].astype("<u4")], pd[own], table)
+            keep = own[p.phrase]
+            h, tag = p.hash[keep], p.context_tags(texts, keep)
+            rows += _blob_rows(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), tag], doc[p.piece[keep]], table)
+            yield _emit(rows)
+    trim()
 
 
 def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -215,8 +256,9 @@ def _span(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return -1 - ((start.astype(np.int64) << 31) | (end.astype(np.int64) - start))
 
 
-def _found(key: np.ndarray, th: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(key, pa.int64()), pa.array(th, pa.int32()), pa.array(value.astype(np.int64))], ["k", "th", "value"])
+def _found(key: np.ndarray, th: np.ndarray, value: np.ndarray, tag: np.ndarray | None = None) -> pa.RecordBatch:
+    tag = np.zeros(len(key), np.int64) if tag is None else tag
+    return pa.record_batch([pa.array(key, pa.int64()), pa.array(th.astype(np.int32)), pa.array(value.astype(np.int64)), pa.array(tag.astype(np.int64))], ["k", "th", "value", "tag"])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[np.ndarray]]]:
@@ -241,43 +283,51 @@ def _joined(old: list[np.ndarray] | None, new: list[np.ndarray]) -> list[np.ndar
 
 
 def _first_phrases(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tuple[list[np.ndarray], pa.RecordBatch]:
-    """The parse: of each phrase the occurrences in its first document stay; later ones come out as spans."""
-    tag, start, end, key, th = _joined(state, new)
-    order = np.lexsort((key, tag))
-    tag, start, end, key, th = (c[order] for c in (tag, start, end, key, th))
-    late = key > _least(tag, key)
+    """Of each phrase the occurrences in its first document stay; later ones come out as spans."""
+    one, two, start, end, key, th = _joined(state, new)
+    order = np.lexsort((key, two, one))
+    one, two, start, end, key, th = (c[order] for c in (one, two, start, end, key, th))
+    late = key > _least((one, two), key)
     out = _found(key[late], th[late], _span(start[late], end[late]))
-    return [c[~late] for c in (tag, start, end, key, th)], out
+    # to decide later ones, one occurrence of the first document is enough
+    keep = np.zeros(len(key), bool)
+    keep[_heads(one, two)] = True
+    return [c[keep] for c in (one, two, start, end, key, th)], out
 
 
 def _shared_anchors(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tuple[list[np.ndarray], pa.RecordBatch]:
     """Anchors to look at come out: those whose windows a smaller document has, all alike (marked _SETTLED), and those
     that stand in several contexts and documents. Of the others what decides later chunks stays.
 
-    The state's `done` marks anchors known to be shared: their later records come out at once, so a very common
-    anchor leaves one record here.
+    The state's `seen` counts the records of an anchor known to be shared, whose later records come out at once, so a
+    very common anchor leaves one record here.
     """
-    anchor, tag, key, th, done = _joined(state, new)
+    anchor, tag, key, th, seen = _joined(state, new)
     order = np.lexsort((key, tag, anchor))
-    anchor, tag, key, th, done = (c[order] for c in (anchor, tag, key, th, done))
-    heads = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    anchor, tag, key, th, seen = (c[order] for c in (anchor, tag, key, th, seen))
+    if not len(anchor):
+        return [anchor, tag, key, th, seen], _found(key, th, anchor, tag)
+    heads = _heads(anchor)
     span = np.diff(np.append(heads, len(anchor)))
     shared = (np.minimum.reduceat(tag, heads) != np.maximum.reduceat(tag, heads)) & (np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads))
-    shared |= np.maximum.reduceat(done, heads) > 0
+    before = np.add.reduceat(seen, heads)
+    shared |= before > 0
     each = np.repeat(shared, span)
-    context = np.cumsum(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (tag[1:] != tag[:-1]))))
-    settled = (key > _least(context, key)) & (done == 0)
-    fresh = settled | (each & (done == 0))
-    out = _found(key[fresh], th[fresh], np.where(settled, _settled(anchor, tag), anchor)[fresh])
+    settled = (key > _least((anchor, tag), key)) & (seen == 0)
+    fresh = settled | (each & (seen == 0))
+    out = _found(key[fresh], th[fresh], np.where(settled, anchor | _SETTLED, anchor)[fresh], np.where(settled, tag, 0)[fresh])
     is_head = np.zeros(len(anchor), bool)
     is_head[heads] = True
     keep = np.where(each, is_head, ~settled)
-    done = np.where(each, 1, 0).astype(np.int8)
-    return [c[keep] for c in (anchor, tag, key, th, done)], out
+    now = before + np.add.reduceat(((seen == 0) & ~settled).astype(np.int64), heads)
+    seen = np.where(each, np.repeat(now, span), 0)
+    return [c[keep] for c in (anchor, tag, key, th, seen)], out
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of settled phrases, and the anchors of documents whose contexts are to be compared."""
     anchors = phrases = None
+    held: list[np.ndarray] = []
     for chunk in _gathered(batches):
         if _DIRECT in chunk:
             start, end, key, th = chunk[_DIRECT]
@@ -286,47 +336,89 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases, out = _first_phrases(phrases, chunk[_PHRASES])
             yield out
         if _ANCHORS in chunk:
-            low, high, tag_low, tag_high, key, th = chunk[_ANCHORS]
-            anchor = low.astype(np.int64) | high.astype(np.int64) << 32
-            anchors, out = _shared_anchors(anchors, [anchor, tag_low.astype(np.int64) | tag_high.astype(np.int64) << 32, key, th, np.zeros(len(key), np.int8)])
-            yield out
+            low, high, tag, key, th = chunk[_ANCHORS]
+            held.append(np.stack((low.astype(np.int64) | high.astype(np.int64) << 32, tag.view(np.int64), key, th.astype(np.int64), np.zeros(len(key), np.int64))))
+            # new records are taken in once they are as many as the state, so sorting stays in proportion to the input
+            if anchors is None or sum(x.shape[1] for x in held) >= len(anchors[0]):
+                anchors, out = _shared_anchors(anchors, list(np.concatenate(held, axis=1)))
+                held = []
+                yield out
+    if held:
+        anchors, out = _shared_anchors(anchors, list(np.concatenate(held, axis=1)))
+        yield out
+    if anchors is not None:  # of anchors with many records, how many
+        hot = anchors[4] >= _HOT
+        yield _found(anchors[2][hot] * 0, anchors[3][hot] * 0, anchors[0][hot] | _BUSY, anchors[4][hot])
+    trim()
+
 
+def _halves(context: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(hash, which, lo, hi): contexts dealt by their anchor with half a window's other bytes, on the left or right.
 
-def _contexts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The bytes around every shared anchor of the dictionary, dealt to buckets by the anchor; settled ones become spans."""
+    A window has at least half of those bytes on one side of its anchor, so equal ones meet on that side.
+    """
+    left = LENGTH - ANCHOR
+    half = left // 2
+    out = []
+    for a, z, b, e in ((left - half, left + ANCHOR, lo, np.minimum(hi, left - half)), (left, left + ANCHOR + left - half, np.maximum(lo, left - half + 1), hi)):
+        which = np.flatnonzero(b <= e)
+        raw = np.ascontiguousarray(context[which, a:z])
+        digests = np.fromiter((xxhash.xxh3_64_intdigest(r) for r in raw), np.uint64, len(which))
+        out.append((digests, which, b[which], e[which]))
+    return out
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The bytes around every shared anchor, dealt to buckets by the anchor (hot ones by more); settled ones become spans."""
     left, size = LENGTH - ANCHOR, 2 * LENGTH - ANCHOR
-    for b in slices(batches, _SLICE, "text"):
-        b, texts = _slim(b, LENGTH)
-        p = parse(texts)
-        if p is None:
-            continue
-        lists = b.column("anchors")
-        docs = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        values = lists.flatten().to_numpy().astype(np.int64)
-        own = (p.hash >> np.uint64(16) & _48).astype(np.int64)
+    for whole in slices(batches, _SLICE, "text"):
+        b, _ = _slim(whole, LENGTH)
+        lists, table = b.column("anchors"), _table(b)
+        rows_of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+        values, value_tags = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
         done = values >= _SETTLED
-        near = np.isin(p.doc << 22 | own & 0x3FFFFF, docs[done] << 22 | values[done] & 0x3FFFFF)
-        tags = (p.context_tags(texts, near) & np.uint64((1 << 40) - 1)).astype(np.int64)
-        settled = np.zeros(len(own), bool)
-        pairs = np.stack((docs[done], values[done]), 1)
-        known = {*map(tuple, pairs.tolist())}
-        settled[near] = np.fromiter((x in known for x in zip(p.doc[near].tolist(), _settled(own[near], tags).tolist(), strict=True)), bool, int(near.sum()))
-        keep = np.isin(own | p.doc << 48, values[~done] | docs[~done] << 48) & ~settled
-        hit = np.flatnonzero(settled)
-        joined = np.zeros(len(hit), bool)  # to the anchor before: one span
-        joined[1:] = (hit[1:] == hit[:-1] + 1) & (p.doc[hit[1:]] == p.doc[hit[:-1]]) & (p.first[hit[1:]] == p.last[hit[:-1]] + 1)
-        a = hit[~joined]
-        z = hit[np.append(np.flatnonzero(~joined)[1:], len(hit)) - 1] if len(hit) else hit
-        spans = _blob_rows(_DIRECT, p.doc[a] % buckets, [p.first[a].astype("<u4"), (p.last[z] + LENGTH).astype("<u4")], p.doc[a], _table(b))
-        at, doc, first, last, h = p.at[keep], p.doc[keep], p.first[keep], p.last[keep], p.hash[keep]
-        data = np.frombuffer(bytes(left) + b"".join(texts) + bytes(size), np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        place = (np.cumsum(sizes) - sizes)[doc] + at  # of the context, which starts `left` before the anchor
-        context = data[place[:, None] + np.arange(size)]
-        lo, hi = first - at + left, last - at + left
-        context *= (np.arange(size) >= lo[:, None]) & (np.arange(size) < hi[:, None] + LENGTH)  # zeros for bytes of no window: they compress
-        rows = _blob_rows(_CONTEXTS, (h % np.uint64(buckets)).astype(np.int64), [context.view(f"S{size}").ravel(), at.astype("<u4"), lo.astype("u1"), hi.astype("u1")], doc, _table(b))
-        yield _emit([*rows, *spans])
+        asked = np.unique(np.stack((rows_of[~done], values[~done]), 1), axis=0)
+        known = set(zip(rows_of[done].tolist(), (values[done] ^ _SETTLED).tolist(), value_tags[done].tolist(), strict=True))
+        near_rows = np.unique(np.stack((rows_of[done], values[done] ^ _SETTLED), 1), axis=0)
+        for texts, doc, base, p in _in_parts(whole):
+            own, row = (p.hash >> np.uint64(16) & _48).astype(np.int64), doc[p.piece]
+            near = np.flatnonzero(_among(row, own, near_rows))
+            tags = p.context_tags(texts, near).view(np.int64)
+            settled = np.zeros(len(own), bool)
+            settled[near] = np.fromiter((x in known for x in zip(row[near].tolist(), own[near].tolist(), tags.tolist(), strict=True)), bool, len(near))
+            hit = np.flatnonzero(settled)
+            joined = np.zeros(len(hit), bool)  # to the anchor before: one span
+            joined[1:] = (hit[1:] == hit[:-1] + 1) & (p.piece[hit[1:]] == p.piece[hit[:-1]]) & (p.first[hit[1:]] == p.last[hit[:-1]] + 1)
+            a = hit[~joined]
+            z = hit[np.append(np.flatnonzero(~joined)[1:], len(hit)) - 1] if len(hit) else hit
+            start = base[p.piece]
+            rows = list(_blob_rows(_DIRECT, row[a] % buckets, [(start[a] + p.first[a]).astype("<u4"), (start[a] + p.last[z] + LENGTH).astype("<u4")], row[a], table))
+            keep = np.flatnonzero(_among(row, own, asked) & ~settled)
+            data = np.frombuffer(bytes(left) + b"".join(texts) + bytes(size), np.uint8)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            begin = (np.cumsum(sizes) - sizes)[p.piece]
+            for part in np.array_split(keep, len(keep) // 16384 + 1):
+                if not len(part):
+                    continue
+                at, h, d = p.at[part], p.hash[part], row[part]
+                context = np.lib.stride_tricks.sliding_window_view(data, size)[begin[part] + at]  # each starts `left` before the anchor
+                lo, hi = p.first[part] - at + left, p.last[part] - at + left
+                busy = np.isin(own[part], hot)
+                dealt = [(h[~busy], np.flatnonzero(~busy), lo[~busy], hi[~busy])]
+                if busy.any():
+                    where = np.flatnonzero(busy)
+                    dealt += [(x, where[w], b_, e_) for x, w, b_, e_ in _halves(context[busy], lo[busy], hi[busy])]
+                place = np.arange(size)
+                for digest, w, lo_, hi_ in dealt:
+                    bytes_ = context[w] * ((place >= lo_[:, None]) & (place < hi_[:, None] + LENGTH))  # zeros for bytes of no window: they compress
+                    rows += _blob_rows(_CONTEXTS, (digest % np.uint64(buckets)).astype(np.int64), [bytes_.view(f"S{size}").ravel(), (start[part][w] + at[w]).astype("<u4"), lo_.astype("u1"), hi_.astype("u1")], d[w], table)
+            yield _emit(rows)
+    trim()
+
+
+def _among(row: np.ndarray, value: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Whether (row, value), the value below 2 ** 48, is among the pairs."""
+    return np.isin(row << 48 | value, pairs[:, 0] << 48 | pairs[:, 1]) if len(pairs) else np.zeros(len(row), bool)
 
 
 def suffix_runs(data: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -351,14 +443,62 @@ def suffix_runs(data: bytes, at: np.ndarray, length: int) -> tuple[np.ndarray, n
     return order, run
 
 
+def corpus_order(dictionary: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: int, phrase: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, offset, least): for every window of the dictionary that repeats, the smallest key of its run.
+
+    dictionary: distinct contexts of `size` bytes with windows at lo..hi; the parse: `phrase` (entry) and `key` of each
+    occurrence. The dictionary's suffix array puts windows into lexicographic order; within a run of equal ones,
+    occurrences follow in the parse's order, of which the first key is what decides.
+    """
+    n = hi.astype(np.int64) - lo + 1
+    entry = np.repeat(np.arange(len(n)), n)
+    off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo.astype(np.int64), n)
+    first = np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(first, phrase, key)
+    order, run = suffix_runs(np.ascontiguousarray(dictionary).tobytes(), entry * size + off, LENGTH)
+    least = first[entry]
+    if len(order):
+        least[order] = _least((run,), least[order])
+    return entry, off, least
+
+
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that some smaller document has, from the dictionary's suffixes around shared anchors.
+    """Spans of windows that some smaller document has, from the contexts around shared anchors.
 
-    Chunk by chunk: in each run of equal windows all but the smallest document's come out, and what stays are the
-    contexts with a window not yet settled; so copies, however many, don't gather here.
+    A chunk's new records join what stayed of earlier ones once they are as many: of each context, the occurrences
+    of its first document with a window not yet settled; so copies, however many, don't gather here.
     """
     left, size = LENGTH - ANCHOR, 2 * LENGTH - ANCHOR
-    state = None
+    state: list[np.ndarray] | None = None
+    held: list[list[np.ndarray]] = []
+
+    def settle(records: list[np.ndarray]) -> tuple[list[np.ndarray], pa.RecordBatch]:
+        context, at, lo, hi, key, th = records
+        order = np.lexsort((key, hi, lo, context))
+        context, at, lo, hi, key, th = (c[order] for c in (context, at, lo, hi, key, th))
+        heads = _heads(context, lo, hi)
+        phrase = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(context))))
+        entry, off, least = corpus_order(context[heads].astype(f"S{size}"), lo[heads], hi[heads], size, phrase, key)
+        # windows of each occurrence: those of its dictionary entry
+        n = (hi.astype(np.int64) - lo + 1)
+        begin = np.concatenate(([0], np.cumsum(n[heads])))[phrase]
+        rec = np.repeat(np.arange(len(n)), n)
+        window = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        late = key[rec] > least[window]
+        hit = np.flatnonzero(late)
+        out = _found(key[:0], th[:0], key[:0])
+        if len(hit):  # neighbouring windows of one record make one span
+            own = off[window]
+            cut = np.concatenate(([True], (rec[hit[1:]] != rec[hit[:-1]]) | (own[hit[1:]] != own[hit[:-1]] + 1)))
+            a, z = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
+            r = rec[a]
+            out = _found(key[r], th[r], _span(at[r] - left + own[a], at[r] - left + own[z] + LENGTH))
+        open_ = np.bincount(rec[~late], minlength=len(n)) > 0
+        first = np.zeros(len(n), bool)
+        first[heads] = True
+        keep = open_ & first  # of equal contexts the smallest document's decides all later ones
+        return [c[keep] for c in (context, at, lo, hi, key, th)], out
+
     for chunk in _gathered(batches):
         if _DIRECT in chunk:
             start, end, key, th = chunk[_DIRECT]
@@ -366,24 +506,14 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _CONTEXTS not in chunk:
             continue
         context, at, lo, hi, key, th = chunk[_CONTEXTS]
-        context, at, lo, hi, key, th = _joined(state, [context, at.astype(np.int64), lo, hi, key, th])
-        n = hi.astype(np.int64) - lo + 1
-        rec = np.repeat(np.arange(len(n)), n)
-        off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo.astype(np.int64), n)
-        raw = np.ascontiguousarray(context.astype(f"S{size}")).tobytes()
-        order, run = suffix_runs(raw, rec * size + off, LENGTH)
-        late = np.zeros(len(rec), bool)
-        if len(order):
-            k = key[rec[order]]
-            late[order] = k > _least(run, k)
-        hit = np.flatnonzero(late)
-        if len(hit):  # neighbouring windows of one record make one span
-            cut = np.concatenate(([True], (rec[hit[1:]] != rec[hit[:-1]]) | (off[hit[1:]] != off[hit[:-1]] + 1)))
-            a, z = hit[cut], hit[np.append(np.flatnonzero(cut)[1:], len(hit)) - 1]
-            r = rec[a]
-            yield _found(key[r], th[r], _span(at[r] - left + off[a], at[r] - left + off[z] + LENGTH))
-        open_ = np.bincount(rec[~late], minlength=len(n)) > 0
-        state = [c[open_] for c in (context, at, lo, hi, key, th)]
+        held.append([context, at.astype(np.int64), lo, hi, key, th])
+        if state is None or sum(len(x[0]) for x in held) >= len(state[0]):
+            state, out = settle([np.concatenate(c) for c in zip(*([state] if state else []), *held, strict=True)])
+            held = []
+            yield out
+    if held:
+        yield settle([np.concatenate(c) for c in zip(*([state] if state else []), *held, strict=True)])[1]
+    trim()
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,8 +541,10 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     `key` must be an integer. Texts are UTF-8 bytes, whole; null is empty; texts under LENGTH bytes stay as they are.
     Rows of equal key never remove each other's bytes, and each gets its own runs; rows without a key keep all. An
-    empty table gives no rows; other columns are not read. Three exchanges of fixed-size records (anchors and
-    phrases, shared anchors, contexts) and one of the texts; tasks hold chunks of bounded size and, of copies, one.
+    empty table gives no rows; other columns are not read. Phrases are equal by 128 bits of hash, an anchor's windows
+    by 64 beside the anchor's own 48, all others byte by byte. Three exchanges of fixed-size records (anchors and
+    phrases, shared anchors, contexts) and one of the texts; tasks hold slices of bounded size and, of copies, one.
+    The contexts of hot anchors (at most _MOST_HOT, known to all tasks) are dealt by half a window's bytes more.
     """
     spark = docs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -422,11 +554,17 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     read = docs.select(docs[key].cast("bigint").alias("key"), F.coalesce(docs[key].cast("bigint"), F.lit(0)).alias("k"), F.hash(data, missing).alias("th"), data.alias("text"))
     dealt = read.where("key is not null").mapInArrow(lambda it: _parsed(it, parts), _ROWS).repartitionById(parts, F.col("bucket"))
     found = written(dealt.mapInArrow(_shared, _FOUND))
+    is_hot = (F.col("value") >= _BUSY) & (F.col("value") < _SETTLED)
+    asking = found.where((F.col("value") >= 0) & ~is_hot)
+    hot = np.empty(0, np.int64)
+    if found.where(is_hot).limit(1).count():
+        least = max(_HOT, asking.count() // _MOST_HOT)
+        hot = np.sort(found.where(is_hot & (F.col("tag") >= least)).select("value").toPandas()["value"].to_numpy(np.int64) ^ _BUSY)
     texts = read.repartition(parts, "k", "th")
-    anchors = found.where("value >= 0").groupBy("k", "th").agg(F.collect_set("value").alias("anchors"))
+    anchors = asking.groupBy("k", "th").agg(F.collect_set(F.struct("value", "tag")).alias("anchors"))
     asked = texts.join(anchors, ["k", "th"]).select("key", "th", "text", "anchors")  # the same columns as below: dealt once
-    around = asked.mapInArrow(lambda it: _contexts(it, parts), _ROWS).repartitionById(parts, F.col("bucket"))
-    spans = around.mapInArrow(_repeats, _FOUND).unionAll(found.where("value < 0"))
+    around = asked.mapInArrow(lambda it: _contexts(it, parts, hot), _ROWS).repartitionById(parts, F.col("bucket"))
+    spans = around.mapInArrow(_repeats, _FOUND).unionAll(found.where("value < 0")).select("k", "th", "value")
     spans = spans.groupBy("k", "th").agg(F.collect_set("value").alias("spans"))
     cut = texts.join(spans, ["k", "th"], "left").select("key", "text", "spans")
     return cut.mapInArrow(_removed, "key bigint, text string, starts array<bigint>, ends array<bigint>, kept binary, kept_sha256 string")
