@@ -6,10 +6,11 @@ by entity once; filters on entities and instants reach the scan.
 
 from tidefold.operators.asof import at, at_many, dedup, timeline
 from tidefold.operators.changes import capacity, reconciliations, snapshot_reconciliations
+from tidefold.operators.lanes import Lanes
 from tidefold.operators.marks import checkpoints, override_at, prune_at, retained, at_from_checkpoints
 from tidefold.operators.routing import admit, fan_out, memory_usage, partition_counts
 
 __all__ = [
-    "admit", "at", "at_from_checkpoints", "at_many", "capacity", "checkpoints", "dedup", "fan_out", "memory_usage", "override_at",
+    "Lanes", "admit", "at", "at_from_checkpoints", "at_many", "capacity", "checkpoints", "dedup", "fan_out", "memory_usage", "override_at",
     "partition_counts", "prune_at", "reconciliations", "retained", "snapshot_reconciliations", "timeline",
 ]

@@ -23,12 +23,12 @@ def fan_out(events: DataFrame, lanes: dict[str, Column], sid: str = "snapshot_id
     return events.withColumn("_target", F.explode(F.array_compact(F.array(*targets)))).withColumn("lane", F.col("_target.lane")).withColumn(sid, F.col("_target.id")).drop("_target")
 
 
-def partition_counts(events: DataFrame, spec: StateSpec, partitions: int) -> DataFrame:
-    """(partition, entities, events): how a log is dealt to partitions by the hash of its entities."""
+def partition_counts(events: DataFrame, spec: StateSpec, partitions: int, by: Column | None = None) -> DataFrame:
+    """(partition, entities, events): how a log is dealt to partitions by a number of its entities, their hash unless `by` says otherwise."""
     if partitions < 1:
         raise ValueError("partitions must be at least 1")
     each = events.groupBy(spec.sid).agg(F.count("*").alias("n"))
-    return each.groupBy(F.pmod(F.xxhash64(spec.sid), F.lit(partitions)).alias("partition")).agg(F.count("*").alias("entities"), F.sum("n").alias("events"))
+    return each.groupBy(F.pmod(F.xxhash64(spec.sid) if by is None else by, F.lit(partitions)).cast("bigint").alias("partition")).agg(F.count("*").alias("entities"), F.sum("n").alias("events"))
 
 
 def memory_usage(events: DataFrame, spec: StateSpec, event_bytes: Column, state_bytes: Column, base_bytes: int, interval: int = 100) -> DataFrame:
@@ -44,14 +44,15 @@ def memory_usage(events: DataFrame, spec: StateSpec, event_bytes: Column, state_
     return rows.withColumn("total_bytes", F.col("event_bytes") + F.col("checkpoint_bytes") + F.col("base_bytes"))
 
 
-def admit(events: DataFrame, spec: StateSpec, budget: int, event_bytes: int, base_bytes: int, interval: int = 100, parts: int = 64) -> DataFrame:
+def admit(events: DataFrame, spec: StateSpec, budget: int, event_bytes: int, base_bytes: int, interval: int = 100, parts: int | None = None) -> DataFrame:
     """The log in order of arrival, with `usage` before each event and whether it is `admitted` to a budget in bytes.
 
     For events of one size from a single writer: an event is refused once usage plus its size reaches the budget,
     and then so are all later ones. An entity's first event adds its base state, every `interval`-th a checkpoint.
     The running sum is global but no single task: quantiles of the (numeric) arrival cut the log into at most `parts`
-    ranges, each range sums its own rows, and the ranges' totals (one row each) are carried over.
+    ranges (the shuffle partitions unless given), each sums its own rows, and their totals (one row each) are carried over.
     """
+    parts = parts or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.row_number().over(Window.partitionBy(spec.sid).orderBy(spec.arrival))
     cost = F.lit(event_bytes) + F.when(place == 1, base_bytes).otherwise(0) + F.when(place % interval == 0, base_bytes).otherwise(0)
     cuts = sorted({*events.approxQuantile(spec.arrival, [k / parts for k in range(1, parts)], 0.01)})

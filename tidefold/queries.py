@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidefold import operators as op
 from tidefold.functions.reducers import Append, Count, ExprFold, Last, Max, Sum
+from tidefold.plans.machine import Fold
 from tidefold.plans.replay import replay
 from tidefold.sources import table
 from tidefold.spec import StateSpec
@@ -265,9 +266,10 @@ def fanout_lanes(spark, sf_dir):
     return each.groupBy("lane", "snapshot_id").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("total"), F.count("*").alias("n"))
 
 
-@_query("SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS entities, CAST(count(*) AS BIGINT) AS events FROM orders")
+@_query("SELECT CAST(o_custkey % 8 AS BIGINT) AS partition, CAST(count(DISTINCT o_custkey) AS BIGINT) AS entities, CAST(count(*) AS BIGINT) AS events FROM orders GROUP BY o_custkey % 8")
 def hash_partition_counts(spark, sf_dir):
-    return op.partition_counts(_orders(spark, sf_dir), ORDERS, 8).agg(F.sum("entities").cast("bigint").alias("entities"), F.sum("events").cast("bigint").alias("events"))
+    # with the identity for a hash, SQL can tell which partition each entity is in
+    return op.partition_counts(_orders(spark, sf_dir), ORDERS, 8, by=F.col("o_custkey"))
 
 
 @_query(
@@ -284,12 +286,18 @@ def memory_admission(spark, sf_dir):
     return op.admit(_orders(spark, sf_dir), ORDERS, 300000, 42, 28).select("o_custkey", "o_orderkey", "usage", "admitted")
 
 
-@_query("SELECT CAST(0 AS BIGINT) AS differing")
+#: Every event twice, the second time with another value, dealt out in an order of arrival that has nothing to do with time.
+_SHUFFLED = f"SELECT sid, tm, id, v + c AS v, (id * 7919 + c * 104729) % 1000003 AS arrival, c FROM ({_EVENTS}), (SELECT unnest([0, 1]) AS c)"
+
+
+@_query(
+    f"SELECT sid AS user_id, array_to_string(list(v ORDER BY tm, id), ',') AS joined FROM (SELECT *, row_number() OVER (PARTITION BY sid, tm, id ORDER BY arrival, c) AS k FROM ({_SHUFFLED})) WHERE k = 1 GROUP BY sid"
+)
 def out_of_order_determinism(spark, sf_dir):
-    log = _events(spark, sf_dir).withColumn("arrival", F.col("event_id") * 7919 % 1009)
-    spec = StateSpec("user_id", "ts", "event_id", "arrival", {"items": Append(EVENT_CENTS)})
-    one, two = (op.at(op.dedup(x, spec), spec, F.expr(END)) for x in (log, log.withColumn("arrival", -F.col("arrival"))))
-    return one.alias("a").join(two.alias("b"), "user_id", "full_outer").where("a.items IS DISTINCT FROM b.items").agg(F.count("*").alias("differing"))
+    log = _events(spark, sf_dir).withColumn("v", F.expr(EVENT_CENTS)).withColumn("c", F.explode(F.array(F.lit(0), F.lit(1))))
+    log = log.withColumn("arrival", F.struct(((F.col("event_id") * 7919 + F.col("c") * 104729) % 1000003).alias("a"), "c"))
+    spec = StateSpec("user_id", "ts", "event_id", "arrival", {"items": Append(F.col("v") + F.col("c"))})
+    return op.at(op.dedup(log, spec), spec, F.expr(END)).select("user_id", F.array_join("items", ",").alias("joined"))
 
 
 def _commands(log: DataFrame, sid: str, time: str, event_id: str, value, order) -> DataFrame:
@@ -308,6 +316,94 @@ def compat_command_log(spark, sf_dir):
     return replay(log).where("kind = 'query'").select("snapshot_id", "state", "found")
 
 
+#: Two authoritative snapshots an entity, after all its events, the later one in time first: the earlier one erases it.
+_TWO = f"SELECT sid, quantile_disc(tm, 0.25) AS early, quantile_disc(tm, 0.75) AS late FROM ({_ORDERS}) GROUP BY sid"
+
+
+def _log(df: DataFrame, seq, what: str, time=None, value=None, delta=None, sid="o_custkey") -> DataFrame:
+    """One command for every row."""
+    null = F.lit(None).cast("bigint")
+    pick = lambda x: null if x is None else x.cast("bigint")
+    return df.select(seq.cast("bigint").alias("seq"), F.lit(what).alias("op"), (F.col(sid) if sid else null).alias("snapshot_id"), pick(time).alias("time"), null.alias("event_id"), pick(value).alias("value"), pick(delta).alias("delta"))
+
+
+def _micros(column: str):
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+def _events_log(orders: DataFrame) -> DataFrame:
+    return _commands(orders, "o_custkey", "o_orderdate", "o_orderkey", F.expr(CENTS), F.col("o_orderkey")).where("op = 'event'")
+
+
+@_query(
+    f"SELECT o.sid AS snapshot_id, CAST(any_value(o.sid) * 1000 + coalesce(sum(v) FILTER (tm > early OR (tm = early AND id > o.sid)), 0) AS BIGINT) AS state FROM ({_ORDERS}) o JOIN ({_TWO}) t ON t.sid = o.sid GROUP BY o.sid"
+)
+def compat_snapshots(spark, sf_dir):
+    """A snapshot earlier in time erases a later one that came before; events after it are folded on top."""
+    orders = _orders(spark, sf_dir)
+    two = orders.groupBy("o_custkey").agg(F.expr("percentile_disc(0.25) WITHIN GROUP (ORDER BY unix_micros(CAST(o_orderdate AS timestamp)))").alias("early"), F.expr("percentile_disc(0.75) WITHIN GROUP (ORDER BY unix_micros(CAST(o_orderdate AS timestamp)))").alias("late"))
+    base = F.lit(1 << 40) + F.col("o_custkey") * 4
+    log = _events_log(orders).unionByName(_log(two, base, "snapshot", F.col("late"), F.lit(-(10**9)))).unionByName(_log(two, base + 1, "snapshot", F.col("early"), F.col("o_custkey") * 1000))
+    return replay(log.unionByName(_log(two, base + 2, "query", F.lit(1 << 60)))).where("kind = 'query'").select("snapshot_id", "state")
+
+
+@_query(
+    f"WITH o AS ({_ORDERS}), f AS (SELECT sid, min(id) AS first FROM o GROUP BY sid) SELECT o.sid AS snapshot_id, CAST(500 + coalesce(sum(v) FILTER (id > first), 0) AS BIGINT) AS state, CAST(500 AS BIGINT) AS before FROM o JOIN f ON f.sid = o.sid GROUP BY o.sid"
+)
+def compat_first_snapshot(spark, sf_dir):
+    """A snapshot that comes before any event is the base for all times, whatever its own time."""
+    orders = _orders(spark, sf_dir)
+    first = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    rest = orders.join(first, "o_custkey").where("o_orderkey > first")
+    log = _events_log(rest).withColumn("seq", F.col("seq") + (1 << 40)).unionByName(_log(first, F.col("o_custkey"), "snapshot", F.lit(1 << 59), F.lit(500)))
+    log = log.unionByName(_log(first, F.lit(1 << 50), "query", F.lit(1 << 60))).unionByName(_log(first, F.lit((1 << 50) + 1), "query", F.lit(-(1 << 60))))
+    got = replay(log).where("kind = 'query'")
+    return got.groupBy("snapshot_id").agg(F.max(F.when(F.col("time") > 0, F.col("state"))).alias("state"), F.max(F.when(F.col("time") < 0, F.col("state"))).alias("before"))
+
+
+#: Advanced by the time at which a third of each 150 events lies behind: what no checkpoint has kept is lost.
+_ADVANCED = (
+    "WITH r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY tm, id) AS n, count(*) FILTER (tm < timestamp '1995-01-01') OVER (PARTITION BY sid) AS d, count(*) OVER (PARTITION BY sid) AS total FROM ({log})) "
+    "SELECT sid AS snapshot_id, CAST(coalesce(sum(v) FILTER (total - total % 10 > d OR n <= d - d % 10 OR n > d), 0) AS BIGINT) AS state FROM r GROUP BY sid"
+)
+
+
+def _advance_log(spark, sf_dir) -> DataFrame:
+    """All orders, one advance for everyone to 1995, one query an entity."""
+    orders = _orders(spark, sf_dir)
+    log = _commands(orders, "o_custkey", "o_orderdate", "o_orderkey", F.expr(CENTS), F.col("o_orderkey"))
+    to = F.unix_micros(F.expr("CAST(timestamp_ntz'1995-01-01 00:00:00' AS timestamp)"))
+    return log.unionByName(_log(spark.range(1), F.lit(1 << 49), "advance", delta=to, sid=None))
+
+
+@_query(_ADVANCED.format(log=_ORDERS))
+def compat_advance(spark, sf_dir):
+    """An advance without an entity prunes all; events behind the horizon that no checkpoint holds are lost."""
+    return replay(_advance_log(spark, sf_dir), interval=10).where("kind = 'query'").select("snapshot_id", "state")
+
+
+@_query(_ADVANCED.format(log=_ORDERS))
+def stream_advance(spark, sf_dir):
+    """The same advance on a stream."""
+    return _streamed(spark, _advance_log(spark, sf_dir), interval=10).where("kind = 'query'").select("snapshot_id", "state")
+
+
+@_query(f"SELECT sid AS snapshot_id, CAST(sum(v + {1 << 60}) - 3 * (sum(v + {1 << 60}) // 3) AS BIGINT) AS rest, CAST(count(*) AS BIGINT) AS n FROM (SELECT sid, tm, id + {1 << 53} AS id, v FROM ({_ORDERS}) WHERE id % 4 < 2) GROUP BY sid")
+def compat_large_ids(spark, sf_dir):
+    """Ids beyond 2 ** 53 that differ by one, and values that add up beyond it, beside the nulls of other commands."""
+    orders = _orders(spark, sf_dir).where("o_orderkey % 4 < 2")
+    log = _commands(orders, "o_custkey", "o_orderdate", "o_orderkey", F.expr(CENTS), F.col("o_orderkey"))
+    log = log.withColumn("event_id", F.col("event_id") + (1 << 53))
+    fold = Fold(start=lambda _: 0, step=_mod3)
+    got = replay(log, fold).where("kind = 'query'")
+    return got.select("snapshot_id", (F.col("state") % 4).alias("rest"), F.shiftright("state", 2).alias("n"))
+
+
+def _mod3(state: int, value: int) -> int:
+    """State packs (events so far, sum of values + 2 ** 60 modulo 3): a value that lost its last digits shows."""
+    return ((state >> 2) + 1) << 2 | ((state & 3) + value + (1 << 60)) % 3
+
+
 @_query(f"SELECT sid AS snapshot_id, epoch_us(tm) AS from_time, epoch_us(latest) AS to_time FROM (SELECT *, max(tm) OVER (PARTITION BY sid ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM ({_ORDERS})) WHERE tm < latest")
 def compat_changes(spark, sf_dir):
     log = _commands(_orders(spark, sf_dir), "o_custkey", "o_orderdate", "o_orderkey", F.expr(CENTS), F.col("o_orderkey"))
@@ -335,3 +431,27 @@ def streaming_equals_batch(spark, sf_dir):
     """The processor on a live stream of all events."""
     log = _commands(_events(spark, sf_dir), "user_id", "ts", "event_id", F.expr(SIGNED), F.col("event_id"))
     return _streamed(spark, log).where("kind = 'query'").select("snapshot_id", "state", "found")
+
+
+@_query(
+    f"WITH e AS ({_EVENTS}) SELECT 'account' AS lane, sid, CAST(sum(CASE WHEN event_type = 'purchase' THEN v ELSE -v END) AS BIGINT) AS number, '' AS last FROM e WHERE event_type IN ('purchase', 'error') GROUP BY sid "
+    "UNION ALL SELECT 'kind', CAST(length(event_type) AS BIGINT), CAST(count(*) AS BIGINT), max_by(event_type, struct_pack(a := tm, b := id)) FROM e GROUP BY length(event_type)"
+)
+def typed_lanes(spark, sf_dir):
+    """One log, two types of state: events fold into accounts by user and into tallies by the length of their kind."""
+    engine = op.Lanes({
+        "account": (StateSpec("sid", "ts", "event_id", "event_id", {"balance": Sum("CASE WHEN event_type = 'purchase' THEN cents ELSE -cents END")}), F.col("user_id"), F.col("event_type").isin("purchase", "error")),
+        "kind": (StateSpec("sid", "ts", "event_id", "event_id", {"n": Count(), "last": Last("event_type")}), F.length("event_type").cast("bigint"), None),
+    })
+    states = engine.at(_events(spark, sf_dir).withColumn("cents", F.expr(EVENT_CENTS)), F.expr(END))
+    accounts, kinds = engine.lane(states, "account"), engine.lane(states, "kind")
+    return accounts.select(F.lit("account").alias("lane"), "sid", F.col("balance").alias("number"), F.lit("").alias("last")).unionByName(kinds.select(F.lit("kind").alias("lane"), "sid", F.col("n").alias("number"), "last"))
+
+
+@_query("SELECT CASE WHEN l_returnflag = 'R' THEN 'order' ELSE 'supplier' END AS lane, CAST(CASE WHEN l_returnflag = 'R' THEN l_orderkey ELSE l_suppkey END AS BIGINT) AS sid, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY ALL")
+def first_target(spark, sf_dir):
+    """The entity that an event is named after: its first target in the order of the lanes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_shipdate", "l_returnflag")
+    spec = StateSpec("sid", "l_shipdate", "l_orderkey", "l_orderkey", {"n": Count()})
+    engine = op.Lanes({"order": (spec, F.col("l_orderkey"), F.col("l_returnflag") == "R"), "supplier": (spec, F.col("l_suppkey"), None)})
+    return engine.first_target(lines).groupBy("lane", "sid").agg(F.count("*").alias("n"))
