@@ -1,9 +1,15 @@
-"""A quality classifier by co-training: a view of the text and a view of its metadata teach each other."""
+"""A quality classifier by co-training: a view of the text and a view of its metadata teach each other.
+
+Features of every document are taken once and written as numbers; the rounds then score all of them. In each round
+either view labels the unlabelled documents it is surest of, relative to its own distribution, and these join the
+other view's training set for good.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tidefold.llm.common import slices, text_of
+from tidefold.llm.common import slices, text_of, trim
 from tidefold.llm.linear import Sparse, fit, platt, sigmoid, telling
+from tidefold.sources.checkpoints import written
 
 BITS = 16
 #: Below this, features are steps of measurements and always count; above, hashed words or values.
@@ -29,18 +36,16 @@ def _hashed(name: str) -> int:
 
 
 def content_features(text: str) -> list[int]:
-    """Steps of shares over the whole text, and its distinct words, hashed."""
+    """Steps of shares over the whole text's words and signs, and its distinct words, hashed."""
     words = text.split()
     n, size = max(1, len(words)), max(1, len(text))
     distinct = set(words)
     windows = len(set(zip(words, words[1:], words[2:], strict=False)))
-    lines = text.split("\n")
     shares = (
         sum(map(text.count, _SYMBOLS)) / size,
         text.count("!!") / n,
         (size - len(text.translate(_UPPER))) / size if text else 0,
         1 - windows / max(1, n - 2) if n > 2 else 0,
-        1 - len(set(lines)) / len(lines),
         1 - len(distinct) / n,
         min(1, size / n / 20),
     )
@@ -50,9 +55,25 @@ def content_features(text: str) -> list[int]:
     return out
 
 
-def metadata_features(row: dict[str, object]) -> list[int]:
-    """Values of metadata columns; numbers by their power of two."""
-    return sorted({_hashed(f"{k}={v.bit_length() if isinstance(v, int) else v}") for k, v in row.items() if v is not None})
+def _half_powers(x: float) -> int:
+    return round(2 * math.log2(x)) if x >= 1 else -1
+
+
+def metadata_features(row: dict[str, object], text: str) -> list[int]:
+    """Values of metadata columns, numbers by half powers of two, and the page's layout: lines, their lengths, equal and blank ones."""
+    values = {k: f"n{_half_powers(float(v))}" if isinstance(v, int | float) and not isinstance(v, bool) else f"v{v}" for k, v in row.items() if v is not None}
+    lines = text.split("\n")
+    sizes = sorted(map(len, lines))
+    layout = {
+        "lines": _half_powers(len(lines)),
+        "mean": _half_powers(len(text) / len(lines)),
+        "longest": _half_powers(sizes[-1]),
+        "median": _half_powers(sizes[len(sizes) // 2]),
+        "equal": round(8 * (1 - len(set(lines)) / len(lines))),
+        "blank": round(8 * (len(lines) - sum(map(bool, lines))) / len(lines)),
+        "stops": round(8 * sum(x.rstrip()[-1:] in (".", "!", "?") for x in lines) / len(lines)),
+    }
+    return sorted({_hashed(f"{k}={v}") for k, v in values.items()} | {_hashed(f"layout {k}={v}") for k, v in layout.items()})
 
 
 @dataclass
@@ -70,76 +91,140 @@ class Model:
     metadata: View
     prior: float  # log-odds of good quality
     columns: tuple[str, ...]
+    #: For each round what the views labelled: (by content: good, bad; by metadata: good, bad).
+    flow: list[tuple[int, int, int, int]] = field(default_factory=list)
 
 
 def _fitted(x: Sparse, y: np.ndarray, z: float, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    used = weight > 0
-    part = Sparse(x.index[used[x.row]], x.row[used[x.row]], x.values[used[x.row]], x.rows)
-    new = telling(part, y, 1 << BITS, z, both=True)
-    new[:_FIXED] = np.where(np.bincount(part.index, minlength=1 << BITS)[:_FIXED] > 0, 0, -1)
+    new = telling(x, y, 1 << BITS, z, both=True)
+    new[:_FIXED] = np.where(np.bincount(x.index, minlength=1 << BITS)[:_FIXED] > 0, 0, -1)
     keep = new >= 0
     new = np.where(keep, np.cumsum(keep) - 1, -1)
-    w, bias = fit(part.kept(new), y, int(keep.sum()), ridge=1e-3, weight=weight)
+    w, bias = fit(x.kept(new), y, int(keep.sum()), ridge=1e-3, weight=weight)
     weights = np.zeros(1 << BITS)
     weights[keep] = w
     return weights, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("source", "lang", "n_chars"), most: int = 6000, pool: int = 6000, rounds: int = 3, share: float = 0.1) -> Model:
-    """Fit both views on at most `most` labelled rows, and on `pool` others by their pseudo-labels.
+def features(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, content, metadata): both views' features of every whole text, as numbers, written to the checkpoint folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1 << 20, "text"):
+            texts = b.column("text").to_pylist()
+            own = [np.sort(np.array(content_features(t), np.int32)) for t in texts]
+            meta = [np.array(metadata_features(m, t), np.int32) for m, t in zip(b.column("meta").to_pylist(), texts, strict=True)]
+            yield pa.record_batch([b.column("key"), _lists(own), _lists(meta)], ["key", "content", "metadata"])
+        trim()
+
+    kind = docs.schema[key].dataType.simpleString()
+    return written(_read(docs, key, text, columns).mapInArrow(run, f"key {kind}, content array<int>, metadata array<int>"))
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
+
+
+def _sums(lists: pa.ListArray, view: View) -> np.ndarray:
+    """The view's score of each row."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return view.bias + np.bincount(owner, weights=view.weights[lists.flatten().to_numpy()], minlength=len(sizes))
+
+
+def _scores(read: DataFrame, content: View, metadata: View) -> DataFrame:
+    """`read` (with both views' features) and the views' log-odds `s_content` and `s_metadata`."""
+    names = read.columns
 
-    Rows are those with the smallest hash of their key; only feature numbers come to the driver. Each round fits
-    both views; each gives the other the `share` of the pool it is surest of (0.95 or surer), with its own labels.
-    A fifth of the labelled rows is kept apart for the calibration of the two scores. Metadata columns that the
-    table lacks are left out. Null labels and keys are left out; with labels of one kind only, the score is constant.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sums(b.column("content"), content)), pa.array(_sums(b.column("metadata"), metadata))], [*names, "s_content", "s_metadata"])
+
+    return read.mapInArrow(run, StructType([*read.schema, StructField("s_content", DoubleType()), StructField("s_metadata", DoubleType())]))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", metadata: tuple[str, ...] = ("source", "lang", "n_chars"), most: int = 6000, rounds: int = 3, teach: int = 200, sure: float = 0.95, known: DataFrame | None = None
+) -> Model:
+    """Fit both views on at most `most` labelled rows (those with the smallest hash of their key), then co-train.
+
+    Each of `rounds` rounds fits both views and scores every document. Of those without a label so far, each view
+    labels up to `teach` as good and, in the labels' proportion, as bad: the ones it is surest of, and only where
+    that share of its best (worst) scored held-out rows is right that `sure` asks for, so a view that can't tell a
+    class doesn't teach it. They join the other view's training set for good and leave the unlabelled documents.
+    A fifth of the labelled rows is kept apart, for that test and for the calibration of the two scores. Only
+    feature numbers of labelled and taught rows come to the driver. `known`: what `features` gave for `docs`.
+    Metadata columns that the table lacks are left out. Null labels and keys are left out, ties go by the key; of a
+    key that is repeated each row counts; with labels of one kind only, the score is constant.
     """
     columns = tuple(c for c in metadata if c in docs.columns)
-    known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y is not null")
+    given = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("y")).where("key is not null and y is not null")
     order = F.xxhash64(F.col("key").cast("string"))
-    labelled = {r["key"]: r["y"] for r in known.orderBy(order, "key").limit(most).collect()}
-    ids = docs.select(docs[key].alias("key")).where("key is not null").orderBy(F.xxhash64(F.concat(F.lit("pool"), F.col("key").cast("string"))), "key").limit(pool)
-    chosen = labelled | {r["key"]: -1 for r in ids.collect() if r["key"] not in labelled}
+    labelled = given.orderBy(order, "key", "y").limit(most).collect()
+    ones = sum(r["y"] == 1 for r in labelled)
+    prior = float(np.log((ones + 0.5) / (len(labelled) - ones + 0.5)))
+    flat = View(np.zeros(1 << BITS), prior)
+    if not 0 < ones < len(labelled):
+        return Model(flat, flat, prior, columns)
+    every = features(docs, columns, key, text) if known is None else known
     kind = docs.schema[key].dataType.simpleString()
-    sample = docs.sparkSession.createDataFrame(list(chosen.items()), f"key {kind}, y int")
-
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4 << 20, "text"):
-            own = [np.array(content_features(t), np.int32).tobytes() for t in b.column("text").to_pylist()]
-            meta = [np.array(metadata_features(m), np.int32).tobytes() for m in b.column("meta").to_pylist()]
-            yield pa.record_batch([pa.array(map(str, b.column("key").to_pylist()), pa.string()), b.column("y"), pa.array(own, pa.binary()), pa.array(meta, pa.binary())], ["key", "y", "content", "metadata"])
-
-    joined = _read(docs, key, text, columns).join(F.broadcast(sample), "key")
-    rows = joined.mapInArrow(featured, "key string, y int, content binary, metadata binary").collect()
-    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r["key"]), r["key"], bytes(r["content"])))
-    y = np.array([r["y"] for r in rows], float)
-    ones, zeros = (y == 1).sum(), (y == 0).sum()
-    prior = float(np.log((ones + 0.5) / (zeros + 0.5)))
-    if not ones or not zeros:
-        flat = View(np.zeros(1 << BITS), prior)
+    sample = docs.sparkSession.createDataFrame([(r["key"], r["y"]) for r in labelled], f"key {kind}, y int")
+    rows = every.join(F.broadcast(sample), "key").select(F.col("key").cast("string").alias("key"), "y", "content", "metadata").toArrow().to_pylist()
+    rows.sort(key=lambda r: (xxhash.xxh64_intdigest(r["key"]), r["key"], r["content"], r["y"]))
+    if len({r["y"] for r in rows}) < 2:
         return Model(flat, flat, prior, columns)
-    views = [Sparse.of([np.frombuffer(r[c], np.int32) for r in rows]) for c in ("content", "metadata")]
-    free = y < 0
-    held = ~free & (np.cumsum(~free) % 5 == 0)
-    label_of = [np.where(free, 0.0, y) for _ in views]
-    weight = [(~free & ~held).astype(float) for _ in views]
-    scores = []
+    held = [r for k, r in enumerate(rows) if k % 5 == 4]
+    own = [r for k, r in enumerate(rows) if k % 5 != 4]
+    truth = np.array([r["y"] for r in held], float)
+    views = ("content", "metadata")
+    taught: dict[str, list[dict]] = {v: [] for v in views}  # to the view, by the other
+    free = every.join(F.broadcast(sample.select("key")), "key", "left_anti").where("key is not null")
+    flow: list[tuple[int, int, int, int]] = []
+    models, checks = {}, {}
     for turn in range(rounds + 1):
-        models = [_fitted(x, t, 4.0, w) for x, t, w in zip(views, label_of, weight, strict=True)]
-        scores = [x.times(w) + b for x, (w, b) in zip(views, models, strict=True)]
+        for v in views:
+            train_rows = [*own, *taught[v]]
+            x, y = Sparse.of([np.array(r[v], np.int64) for r in train_rows]), np.array([r["y"] for r in train_rows], float)
+            weight = np.array([r.get("weight", 1.0) for r in train_rows])
+            models[v] = View(*_fitted(x, y, 4.0, weight))
+            checks[v] = _sums(_lists([np.array(r[v], np.int32) for r in held]), models[v])
         if turn == rounds:
             break
-        for k, s in enumerate(scores):
-            a, c = platt(s[held], y[held])
-            p = sigmoid(a * s + c)
-            sure = free & (np.abs(p - 0.5) >= 0.45)
-            best = np.flatnonzero(sure)[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")][: int(share * free.sum())]
-            label_of[1 - k][best] = p[best] > 0.5
-            weight[1 - k][best] = np.maximum(weight[1 - k][best], 0.5)
+        scored = _scores(free, models["content"], models["metadata"])
+        gone = {r["key"] for t in taught.values() for r in t}
+        counts = []
+        for v, other in (views, views[::-1]):
+            for good in (1, 0):
+                share = ones / len(labelled) if good else 1 - ones / len(labelled)
+                bound = _bound(checks[v], truth, good, sure)
+                most_ = max(1, round(teach * min(1.0, share / max(1e-9, 1 - share)))) if bound is not None else 0
+                new: list[dict] = []
+                if most_:
+                    s = F.col(f"s_{v}")
+                    chosen = scored.where((s >= bound) if good else (s <= bound)).orderBy((-s if good else s), F.xxhash64(F.col("key").cast("string")), "key")
+                    for r in chosen.select(F.col("key").cast("string").alias("key"), "content", "metadata").limit(most_ + len(gone)).toArrow().to_pylist():
+                        if r["key"] not in gone and len(new) < most_:
+                            gone.add(r["key"])
+                            new.append(r | {"y": good, "weight": 0.5})
+                taught[other] += new
+                counts.append(len(new))
+        flow.append(tuple(counts))
+        if not sum(counts):
+            break
     out = []
-    for s, (w, b) in zip(scores, models, strict=True):
-        a, c = platt(s[held], y[held])
-        out.append(View(a * w, a * b + c))
-    return Model(out[0], out[1], prior, columns)
+    for v in views:
+        a, c = platt(checks[v], truth)
+        out.append(View(a * models[v].weights, a * models[v].bias + c))
+    return Model(out[0], out[1], prior, columns, flow)
+
+
+def _bound(scores: np.ndarray, truth: np.ndarray, good: int, sure: float) -> float | None:
+    """The widest score from which on (for bad: down from which) a share of `sure` of the held-out rows is right; None if fewer than 5 are."""
+    order = np.argsort(-scores if good else scores, kind="stable")
+    right = np.cumsum(truth[order] == good) / np.arange(1, len(order) + 1)
+    ok = np.flatnonzero((right >= sure) & (np.arange(1, len(order) + 1) >= 5))
+    return float(scores[order[ok[-1]]]) if len(ok) else None
 
 
 def _read(docs: DataFrame, key: str, text: str, columns: tuple[str, ...]) -> DataFrame:
@@ -147,34 +232,44 @@ def _read(docs: DataFrame, key: str, text: str, columns: tuple[str, ...]) -> Dat
     return docs.select(docs[key].alias("key"), text_of(docs, text).alias("text"), meta.alias("meta"))
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _combined(one: np.ndarray, two: np.ndarray, prior: float) -> np.ndarray:
+    return sigmoid(one + two - prior)
+
+
+def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """(key, score, p_content, p_metadata): calibrated views and their combination for every whole text.
 
     The views' log-odds add up, less the prior that both contain. Null texts are empty, null metadata has no
-    feature; rows and keys are kept as they come; clashing names can't occur, as only the named columns are read.
+    feature; rows and keys are kept as they come; an empty table gives no rows; clashing names can't occur, as only
+    the named columns are read. `known`: what `features` gave for `docs`.
     """
+    every = features(docs, model.columns, key, text) if known is None else known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4 << 20, "text"):
-            one = np.array([model.content(content_features(t)) for t in b.column("text").to_pylist()])
-            two = np.array([model.metadata(metadata_features(m)) for m in b.column("meta").to_pylist()])
-            yield pa.record_batch([b.column("key"), *map(pa.array, (sigmoid(one + two - model.prior), sigmoid(one), sigmoid(two)))], ["key", "score", "p_content", "p_metadata"])
+        for b in batches:
+            one, two = _sums(b.column("content"), model.content), _sums(b.column("metadata"), model.metadata)
+            yield pa.record_batch([b.column("key"), *map(pa.array, (_combined(one, two, model.prior), sigmoid(one), sigmoid(two)))], ["key", "score", "p_content", "p_metadata"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return _read(docs, key, text, model.columns).mapInArrow(run, f"key {kind}, score double, p_content double, p_metadata double")
+    return every.mapInArrow(run, f"key {kind}, score double, p_content double, p_metadata double")
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
-    """`docs` with all its columns and the combined score in `into` (an input column of that name is replaced)."""
+    """`docs` with all its columns and the combined score in `into` (an input column of that name is replaced).
+
+    The input travels in a struct, so its names can't clash with any used here. Rows as for `score`.
+    """
     rest = docs.drop(into)
     meta = F.struct(*[rest[c].alias(c) for c in model.columns]) if model.columns else F.struct(F.lit(None).cast("string").alias("none"))
-    carried = rest.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 4 << 20, "_ct_text"):
-            one = np.array([model.content(content_features(t)) for t in b.column("_ct_text").to_pylist()])
-            two = np.array([model.metadata(metadata_features(m)) for m in b.column("_ct_meta").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], pa.array(sigmoid(one + two - model.prior))], [*carried, into])
-
-    schema = StructType([*rest.schema, StructField(into, DoubleType())])
-    return rest.select("*", text_of(rest, text).alias("_ct_text"), meta.alias("_ct_meta")).mapInArrow(run, schema)
+        for b in slices(batches, 1 << 20, "text"):
+            texts = b.column("text").to_pylist()
+            one = np.array([model.content(content_features(t)) for t in texts])
+            two = np.array([model.metadata(metadata_features(m, t)) for m, t in zip(b.column("meta").to_pylist(), texts, strict=True)])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(_combined(one, two, model.prior))], ["row", "score"])
+        trim()
+
+    carried = rest.select(F.struct(*[rest[c] for c in rest.columns]).alias("row"), text_of(rest, text).alias("text"), meta.alias("meta"))
+    out = carried.mapInArrow(run, StructType([carried.schema["row"], StructField("score", DoubleType())]))
+    return out.select(*[F.col("row")[c].alias(c) for c in rest.columns], F.col("score").alias(into))

@@ -87,8 +87,9 @@ def op7_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = cotraining.train(docs, table(spark, sf_dir, "labels"))
-    return cotraining.score(docs, model).select(F.col("key").alias("doc_id"), "score", "p_content", "p_metadata", (F.col("score") >= 0.5).alias("kept"))
+    known = cotraining.features(docs, ("source", "lang", "n_chars"))
+    model = cotraining.train(docs, table(spark, sf_dir, "labels"), known=known)
+    return cotraining.score(docs, model, known=known).select(F.col("key").alias("doc_id"), "score", "p_content", "p_metadata", (F.col("score") >= 0.5).alias("kept"))
 
 
 def op9_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
