@@ -32,10 +32,26 @@ def test_shuffle(spark):
     slots = {s: sorted(r.slot for r in got if r.shard == s) for s in range(4)}
     assert all(v == list(range(len(v))) for v in slots.values()) and sorted(map(len, slots.values())) == [25, 26, 26, 26]
     assert hypergeometric_shuffle(docs.limit(0), 4).collect() == []
+    odd = spark.createDataFrame([(None, "x", 1, 2, 3, "r"), (None, None, 1, 2, 3, "r")], "doc_id bigint, text string, part int, block int, `order` int, `row` string")
+    for size in (1, 100):
+        found = hypergeometric_shuffle(odd, 1, block_rows=size)
+        assert found.columns == ["doc_id", "text", "part", "block", "order", "row", "shard", "slot"] and sorted(r.slot for r in found.collect()) == [0, 1]
     few = hypergeometric_shuffle(docs.limit(2), 4).collect()
     assert sorted(r.slot for r in few) == [0, 0]
 
 
+def test_a_draw_costs_the_same_for_any_number_of_rows():
+    """10 ** 11 rows in 100,000 partitions: a task's row of the matrix in well under 5 seconds."""
+    import time
+
+    before = np.arange(100_001, dtype=np.int64) * 1_000_000
+    colours = np.array(sharding.shard_sizes(10**11, 40), np.int64)
+    began = time.perf_counter()
+    row = matrix_row(77_777, before, colours, 3)
+    assert row.sum() == 1_000_000 and time.perf_counter() - began < 5
+    assert abs(row - 25_000).max() < 1200
+
+
 def test_shuffle_is_uniform(spark, tmp_path):
     spark.range(8).repartition(3).write.parquet(str(tmp_path / "t"))
     source = spark.read.parquet(str(tmp_path / "t"))

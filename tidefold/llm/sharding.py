@@ -13,7 +13,7 @@ from pyspark.sql.types import LongType, StructType
 
 from tidefold.sources.checkpoints import checkpointed
 
-#: Rows of a shard that one task orders; larger shards consist of several such blocks.
+#: Rows of a block, about: what of a shard is ordered together.
 BLOCK_ROWS = 1 << 14
 #: numpy draws hypergeometric numbers exactly for populations below this.
 _NUMPY_LIMIT = 1_000_000_000
@@ -76,63 +76,66 @@ def hypergeometric_shuffle(df: DataFrame, shards: int, seed: int = 0, block_rows
     """All rows of `df`, with `shard` (0 to shards - 1) and `slot` (gapless from 0 within the shard), uniformly shuffled.
 
     Shard sizes are exact and at most one apart. A count of each partition's rows is all that comes to the driver.
-    Then, per partition, its row of the hypergeometric matrix says how many rows go to each block of each shard;
-    rows take these places in random order as they stream by (batch by batch: counts drawn, labels permuted), one
-    exchange moves them, and each block is put into a second random order. A block holds at most `block_rows` rows,
-    so a shard of any size is ordered by many tasks. The same seed and partitions give the same result, also when a
-    lost task runs again; if a partition's rows change between the two readings, the job fails instead of misplacing.
+    Then, per partition, its row of the hypergeometric matrix says how many rows go to each shard: one colour a shard,
+    so a draw costs the same for any number of rows. Rows take these places in random order as they stream by (batch
+    by batch: counts drawn, labels permuted), each with a random number of 63 bits, and one exchange by range of
+    (shard, that number) moves them. Within a shard the order of independent random numbers is a uniform permutation
+    (ties, by place of origin, have a chance of rows ** 2 / 2 ** 64), so a shard of any size is cut into `blocks` of
+    about `block_rows` rows, which many tasks order; a block's first slot follows from the blocks' counts, which are
+    added up by Spark. The same seed and partitions give the same result, also when a lost task runs again; if a
+    partition's rows change between the two readings, the job fails instead of misplacing.
 
     Rows count as they come: nulls, empty or repeated rows are rows like others; with fewer rows than shards some
-    shards are empty; an empty table gives no rows. Input columns named shard or slot are replaced.
+    shards are empty; an empty table gives no rows. The input travels in a struct, so its names can't clash with any
+    used here; input columns named shard or slot are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    source = _stable(df.drop("shard", "slot"))
+    kept = [c for c in df.columns if c not in ("shard", "slot")]
+    source = _stable(df.select(F.struct(*[df[c] for c in kept]).alias("row") if kept else F.struct(F.lit(1).alias("none")).alias("row")))
     counts = {r["p"]: r["n"] for r in source.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
     parts = max(counts, default=0) + 1
     before = np.concatenate(([0], np.cumsum([counts.get(p, 0) for p in range(parts)]))).astype(np.int64)
-    sizes: list[int] = []
-    shard_of: list[int] = []
-    offsets: list[int] = []
-    for s, size in enumerate(shard_sizes(int(before[-1]), shards)):
-        blocks = shard_sizes(size, max(1, math.ceil(size / block_rows)))
-        offsets += np.concatenate(([0], np.cumsum(blocks)[:-1])).tolist()
-        sizes += blocks
-        shard_of += [s] * len(blocks)
-    colours = np.array(sizes, np.int64)
+    rows = int(before[-1])
+    colours = np.array(shard_sizes(rows, shards), np.int64)
+    blocks = max(1, math.ceil(rows / shards / block_rows))  # of each shard, by equal ranges of the random number
+    width = (1 << 63) // blocks + 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = left = None
-        part, place_of = -1, 0
+        part, seen = -1, 0
         for b in batches:
             if not b.num_rows:
                 continue
             if left is None:
-                part = b.column("_hg_part")[0].as_py()
+                part = b.column("part")[0].as_py()
                 left, rng = matrix_row(part, before, colours, seed).copy(), np.random.default_rng([seed, part])
             if int(left.sum()) < b.num_rows:
                 raise RuntimeError("a source partition grew between its count and its shuffle")
             take = _multivariate(rng, left, b.num_rows)
             left -= take
-            block = np.repeat(np.arange(len(take)), take)
-            rng.shuffle(block)
-            order = rng.integers(-(1 << 63), (1 << 63) - 1, b.num_rows)
-            rows = np.arange(place_of, place_of + b.num_rows)
-            place_of += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(block), pa.array(order), pa.array(rows)], [*b.schema.names, "_hg_block", "_hg_order", "_hg_row"])
+            shard = np.repeat(np.arange(len(take)), take)
+            rng.shuffle(shard)
+            order = rng.integers(0, (1 << 63) - 1, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("part"), pa.array(shard), pa.array(order // width), pa.array(order), pa.array(np.arange(seen, seen + b.num_rows))], ["row", "part", "shard", "block", "order", "number"])
+            seen += b.num_rows
         if left is not None and left.any():
             raise RuntimeError("a source partition shrank between its count and its shuffle")
 
-    marked = source.select("*", F.spark_partition_id().alias("_hg_part"))
+    marked = source.select("row", F.spark_partition_id().alias("part"))
     schema = StructType(list(marked.schema))
-    for name in ("_hg_block", "_hg_order", "_hg_row"):
+    for name in ("shard", "block", "order", "number"):
         schema = schema.add(name, LongType())
     placed = marked.mapInArrow(place, schema)
-    rank = F.row_number().over(Window.partitionBy("_hg_block").orderBy("_hg_order", "_hg_part", "_hg_row"))
-    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("_hg_block").cast("int") + 1)
-    if len(sizes) <= 4096:
-        named = placed.withColumn("shard", at(shard_of).cast("int")).withColumn("slot", at(offsets).cast("bigint") + rank - 1)
+    rank = F.row_number().over(Window.partitionBy("shard", "block").orderBy("order", "part", "number"))
+    if blocks == 1:
+        named = placed.select("row", F.col("shard").cast("int").alias("shard"), (rank - 1).cast("bigint").alias("slot"))
     else:
-        where = df.sparkSession.createDataFrame(list(zip(range(len(sizes)), shard_of, offsets, strict=True)), "_hg_block bigint, shard int, _offset bigint")
-        named = placed.withColumn("_rank", rank).join(where, "_hg_block").withColumn("slot", F.col("_offset") + F.col("_rank") - 1).drop("_offset", "_rank")
-    return named.drop("_hg_part", "_hg_block", "_hg_order", "_hg_row")
+        # counts of the blocks, drawn again from the same seeds: no row is read twice for them but by its number
+        sizes = checkpointed(placed.groupBy("shard", "block").agg(F.count("*").alias("n")))
+        first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select(F.col("shard").alias("s"), F.col("block").alias("b"), first.alias("first"))
+        ranked = placed.withColumn("rank", rank)
+        joined = ranked.join(starts, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b")))
+        named = joined.select("row", F.col("shard").cast("int").alias("shard"), (F.col("first") + F.col("rank") - 1).cast("bigint").alias("slot"))
+    return named.select(*[F.col("row")[c].alias(c) for c in kept], "shard", "slot")
