@@ -82,3 +82,53 @@ def test_queries_remove_short_equal_lines(spark, tmp_path):
     assert {r.doc_id: r.n_equal for r in op7_segment_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
     docs = spark.createDataFrame([(1, "Menu\nfirst", 10), (2, "Menu\nsecond", 11)], "doc_id bigint, text string, n_chars bigint")
     assert {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()} == {1: ("Menu\nfirst", 10), 2: ("second", 6)}
+
+
+@pytest.mark.parametrize("keys", [(0, 1), (2**62, -(2**62) - 5), (2**63 - 1, -(2**63))])
+def test_any_key(spark, keys):
+    line = "a line that is long enough to be compared by edits"
+    rows = [(keys[0], f"x\n{line}"), (keys[1], f"{line}\nx\n{line[:-1]}")]
+    got = {r.key: (r.exact, r.near) for r in near_duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), equal_least=1).collect()}
+    if keys[1] < keys[0]:  # the second row comes first: its own third line is close to its first
+        assert got == {keys[1]: ([], [2]), keys[0]: ([0, 1], [])}
+    else:
+        assert got == {keys[0]: ([], []), keys[1]: ([0, 1], [2])}
+
+
+def test_many_lines_in_one_text(spark):
+    n = (1 << 21) + 1
+    df = spark.range(1).selectExpr("5L AS doc_id", f"repeat('ab\n', {n}) AS text")
+    r = near_duplicate_lines(df, equal_least=1).selectExpr("size(exact) AS n", "kept").first()
+    assert (r.n, r.kept) == (n - 1, "ab\n")
+
+
+def test_common_head_makes_few_pairs(spark, monkeypatch):
+    """Lines with one common head and their own rests, some of them close: all found, and pairs stay linear in the lines."""
+    from tidefold.llm import line_dedup
+
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tails = ["".join(rnd.choice(letters) for _ in range(40)) for _ in range(3000)]
+    rows = [(k, "the common head of all the lines that follow: " + t) for k, t in enumerate(tails)]
+    close = rnd.sample(range(3000), 200)
+    rows += [(3000 + j, rows[k][1][:60] + "#" + rows[k][1][61:]) for j, k in enumerate(close[:100])]
+    rows += [(3100 + j, rows[k][1][:50] + rows[k][1][51:] + "!") for j, k in enumerate(close[100:])]
+    counted = []
+    verified = line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, lines, edits: (counted.append(pairs.count()), verified(pairs, lines, edits))[1])
+    got = near_duplicate_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).where("size(near) > 0").collect()
+    assert sorted(r.key for r in got) == list(range(3000, 3200))
+    assert sum(counted) < 20 * len(rows), counted
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_divided_keys_equal_brute_force(spark, monkeypatch, hot):
+    from tidefold.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rnd = random.Random(hot)
+    head = "the head that all have "
+    lines = [head + edited(rnd, "".join(rnd.choice("abé") for _ in range(rnd.choice([17, 18, 19, 24]))), 3, "abé") for _ in range(90)]
+    lines = [x for x in dict.fromkeys(lines) if len(x) >= 40]
+    got = {r.key for r in near_duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).where("size(near) > 0").collect()}
+    assert got == {i for i, x in enumerate(lines) if any(distance(x, y) <= 2 for y in lines[:i])}

@@ -95,12 +95,54 @@ def test_toxicity_on_held_out_rows(corpus):
     assert {(r.key, r.score) for r in toxicity.score(docs.repartition(2), model).where("key IS NOT NULL").collect()} == again
 
 
-def test_toxicity_ignores_swapped_groups(spark, corpus):
+def test_swaps_take_every_term_of_every_sentence():
+    plain = "Nothing here. " * 9
+    got = list(toxicity.swaps(plain + "The women met men. Old days."))
+    assert ("The women met men.", "The girls met men.") in got and ("The women met men.", "The women met boys") in got and ("Old days.", "elderly days.") in got
+    assert len(got) == 5 + 5 + 3
+    assert len(list(toxicity.made_up(plain, 3, 4))) == 4 and len(list(toxicity.made_up("women. " * 9, 3, 4))) == 0
+    for one, two in toxicity.made_up(plain, 3, 4):
+        assert one != two and one.split()[1:] == two.split()[1:] and toxicity._GROUP[one.split()[0]] is toxicity._GROUP[two.split()[0]]
+
+
+def biased(spark):
+    """Toxic texts mostly speak of one group, clean ones of another, always after the fourth sentence; what makes them toxic is another word."""
+    rnd = random.Random(12)
+    rows, labels = [], []
+    for k in range(1200):
+        toxic = int(rnd.random() < 0.3)
+        group = rnd.choice(["muslims", "muslims", "muslims", "christians"] if toxic else ["christians", "christians", "jews", "hindus"])
+        words = [rnd.choice(WORDS) for _ in range(40)]
+        if toxic and rnd.random() < 0.6:
+            words.insert(3, rnd.choice(["grolk", "vempt"]))
+        rows.append((k, "One. Two. Three. Four. Five. " + " ".join(words) + f" {group} {rnd.choice(WORDS)}."))
+        labels.append((k, toxic))
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_swapped_groups_keep_their_score(spark):
+    docs, labels = biased(spark)
+    neutral = spark.createDataFrame(list(enumerate(f"The {g} of banan and delor." for g in toxicity.IDENTITY[1])), "doc_id bigint, text string")
+    gap, false, models = {}, {}, {}
+    for pull in (0.0, 1.0, 10.0):
+        models[pull] = toxicity.train(docs, labels, pull=pull)
+        got = [r.score for r in toxicity.score(neutral, models[pull]).collect()]
+        logits = np.log(np.array(got) / (1 - np.array(got)))
+        gap[pull], false[pull] = logits.max() - logits.min(), sum(x >= 0.5 for x in got)
+    assert not np.array_equal(models[0.0].weights, models[1.0].weights)
+    assert gap[0.0] > 3 and gap[1.0] < 0.5 * gap[0.0] and gap[10.0] < 0.2 * gap[0.0]
+    assert false[0.0] > 0 and false[10.0] == 0
+    toxic = toxicity.score(spark.createDataFrame([(1, "The grolk of banan."), (2, "grolk vempt christians")], "doc_id bigint, text string"), models[10.0])
+    assert all(r.score >= 0.5 for r in toxic.collect())
+
+
+def test_toxicity_edge_cases(spark, corpus):
     docs, labels = corpus
-    model = toxicity.train(docs, labels, z=2.5)
-    texts = [f"{g} banan delor" for g in ("women", "men", "muslims", "christians", "gay", "immigrants")]
-    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
-    assert max(r.score for r in got) - min(r.score for r in got) < 0.1 and all(r.score < 0.5 for r in got)
+    model = toxicity.train(docs, labels)
+    assert toxicity.score(docs.limit(0), model).collect() == [] and toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
+    odd = spark.createDataFrame([(1, "grolk", "x", "y"), (1, "grolk", "x", "y"), (None, None, None, None)], "doc_id bigint, text string, score string, key string")
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == 3 and len({r.score for r in got if r.key == 1}) == 1
 
 
 def test_toxicity_with_one_label(spark, corpus):
@@ -126,6 +168,56 @@ def test_cotraining_on_held_out_rows(spark, corpus):
     assert len({r.score for r in cotraining.score(docs, cotraining.train(docs, labels.limit(0))).collect()}) == 1
 
 
+def two_views(spark, n=2500):
+    """Sources tell good from bad at 0.95; so do words, but of 120 a class each text has only three, so few labels teach few words."""
+    rnd = random.Random(7)
+    letters = "bcdfghjklmnp"
+    said = [[f"q{'ab'[c]}{a}{b}{d}" for a in letters for b in letters for d in "ae"][:120] for c in (0, 1)]
+    rows, labels = [], []
+    for k in range(n):
+        good = int(rnd.random() < 0.6)
+        words = [rnd.choice(WORDS) for _ in range(30)] + [rnd.choice(said[good if rnd.random() < 0.95 else 1 - good]) for _ in range(3)]
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), f"src{rnd.randrange(3) + 3 * (good if rnd.random() < 0.95 else 1 - good)}"))
+        labels.append((k, good))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4), labels
+
+
+def test_rounds_beat_plain_training_with_few_labels(spark):
+    docs, labels = two_views(spark)
+    known = cotraining.features(docs, ("source",))
+    given = spark.createDataFrame([x for x in labels if x[0] < 200], "doc_id bigint, quality int")
+    truth = dict(labels)
+    right, models = {}, {}
+    for rounds in (0, 1, 4):
+        models[rounds] = cotraining.train(docs, given, metadata=("source",), rounds=rounds, sure=0.9, known=known)
+        got = [r for r in cotraining.score(docs, models[rounds], known=known).collect() if r.key >= 200]
+        right[rounds] = {c: sum((r[c] >= 0.5) == bool(truth[r.key]) for r in got) / len(got) for c in ("p_content", "p_metadata", "score")}
+    flow = models[4].flow
+    assert sum(f[2] > 0 and f[3] > 0 for f in flow) >= 2, flow  # metadata teaches content both classes in several rounds
+    assert sum(f[0] + f[1] > 0 for f in flow) >= 2, flow  # and content, once taught, teaches metadata
+    assert right[1]["p_content"] > right[0]["p_content"] + 0.05 and right[4]["p_content"] > right[1]["p_content"], right
+    assert right[4]["score"] >= right[0]["score"] and right[4]["p_metadata"] > 0.9, right
+
+
+def test_cotraining_edge_cases(spark, corpus):
+    docs, labels = corpus
+    model = cotraining.train(docs, labels)
+    odd = docs.select("*", F.lit(1).alias("_ct_text"), F.lit(2).alias("row"), F.lit(3).alias("key"), F.lit(4).alias("score"), F.lit(5).alias("text2"))
+    out = cotraining.scored(odd, model)
+    assert out.columns == [*odd.columns, "quality_score"] and out.count() == odd.count()
+    assert cotraining.scored(odd.limit(0), model).collect() == []
+    one = {r.doc_id: r.quality_score for r in out.where("doc_id < 900").collect()}
+    two = {r.key: r.score for r in cotraining.score(docs, model).where("key < 900").collect()}
+    assert one == two
+    twice = docs.where("doc_id < 300").unionAll(docs.where("doc_id < 300"))
+    scores = {}
+    for r in cotraining.score(twice, model).collect():
+        scores.setdefault(r.key, set()).add(r.score)
+    assert all(len(x) == 1 for x in scores.values())
+    assert cotraining.train(docs.limit(0), labels).flow == []
+
+
 def test_licences(spark):
     rnd = random.Random(2)
     noise = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n)).capitalize() + "."
