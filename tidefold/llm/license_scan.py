@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import slices, text_of
+from tidefold.llm.common import slices, text_of, trim
 from tidefold.llm.linear import platt, sigmoid
 
 #: Templates by family: notices and key sentences of public licences (fixed values).
@@ -149,16 +150,33 @@ def _marked(text: str) -> bool:
 
 
 def train(docs: DataFrame, text: str = "text", sample: int = 4000, seed: int = 2) -> Model:
-    """Fit a softmax regression on noisy copies of the templates and, for the unknown class, on sentences of at most
-    `sample` lines (those with the smallest hash, under 10,000 code points) and the templates' words in random order.
+    """Fit a softmax regression on noisy copies of the templates and, for the unknown class, on corpus sentences and the
+    templates' words in random order.
 
-    A fifth of the examples is kept apart for the calibration of "known" against "unknown". Sampled sentences that a
-    template confirms are no unknowns and are left out. Without texts the other unknowns remain.
+    The corpus sentences are the `sample` distinct ones with the smallest hash, of all sentences of all texts: a bounded,
+    uniform sample in which no source or group of copies counts more than once. Those that a template confirms are no
+    unknowns and are left out. A fifth of the examples is kept apart for the calibration of "known" against "unknown".
+    Without texts the other unknowns remain. Tasks send at most `sample` sentences each.
     """
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, str] = {}
+        limit = 1 << 64
+        for b in slices(batches, 4 << 20, "text"):
+            for t in b.column("text").to_pylist():
+                for s in _SENTENCE.split(t):
+                    if (h := xxhash.xxh64_intdigest(s)) < limit:
+                        found[h] = s
+                if len(found) > 4 * sample:
+                    found = dict(sorted(found.items())[:sample])
+                    limit = max(found) + 1
+        rows = sorted(found.items())[:sample]
+        yield pa.record_batch([pa.array(np.array([h for h, _ in rows], np.uint64).view(np.int64)), pa.array([" ".join(words_of(s)) for _, s in rows], pa.string())], ["h", "words"])
+        trim()
+
     rng = np.random.default_rng(seed)
-    body = text_of(docs, text)
-    lines = docs.select(F.explode(F.split(body, "\n")).alias("t")).where("length(t) < 10000")
-    rows = lines.orderBy(F.xxhash64("t"), "t").limit(sample).collect()
+    drawn = docs.select(text_of(docs, text).alias("text")).mapInArrow(smallest, "h bigint, words string").distinct()
+    rows = drawn.orderBy(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), "words").limit(sample).collect()  # unsigned order
     examples: list[tuple[list[str], int]] = []
     for k, (family, templates) in enumerate(TEMPLATES.items(), 1):
         for t in templates:
@@ -171,10 +189,9 @@ def train(docs: DataFrame, text: str = "text", sample: int = 4000, seed: int = 2
                 examples.append((v, k))
                 examples.append((list(rng.permutation(w)[: int(rng.integers(1, len(w) + 1))]), 0))
     for r in rows:
-        for s in _SENTENCE.split(r["t"])[:4]:
-            w = words_of(s)
-            if w and all(_similarity(ngrams(w), len(w), ts) < CONFIRM for ts in _TEMPLATE_GRAMS.values()):
-                examples.append((w, 0))
+        w = r["words"].split()
+        if w and all(_similarity(ngrams(w), len(w), ts) < CONFIRM for ts in _TEMPLATE_GRAMS.values()):
+            examples.append((w, 0))
     vocabulary = {g: i for i, g in enumerate(sorted({g for ts in _TEMPLATE_GRAMS.values() for t, _ in ts for g in t}))}
     feats = [np.array([vocabulary[g] for g in ngrams(w) if g in vocabulary], np.int64) for w, _ in examples]
     y = np.array([k for _, k in examples])
@@ -222,8 +239,9 @@ def licences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
     Sentences are classified one by one, so a notice at the head of a long paragraph is found; a paragraph's verdict
     is its most probable sentence. A prediction stands if it is likelier than unknown and its family's closest
     template has a similarity of CONFIRM or more (Dice; of longer sentences, the share of the template they have).
-    Sentences without any of the words of which a template needs one can't reach that and are not scored. Null and empty texts have no paragraphs; repeated
-    keys are kept as they come; an empty table gives no rows; other columns are not read.
+    Sentences without any of the words of which a template needs one can't reach that and are not scored. Of equally
+    probable families the first listed counts, of sentences the first. Null and empty texts have no paragraphs; null
+    and repeated keys are kept as they come; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +250,7 @@ def licences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
         for b in slices(batches, 4 << 20, "text"):
             counts, found = [], []
             for t in b.column("text").to_pylist():
-                lines = [x for x in t.split("\n") if x.strip()]
+                lines = [x for x in t.split("\n") if _WORD.search(x)]
                 hits = []
                 if _marked(t):
                     for k, line in enumerate(lines):
@@ -252,6 +270,7 @@ def licences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                 counts.append(len(lines))
                 found.append(hits)
             yield pa.record_batch([b.column("key"), pa.array(counts, pa.int64()), pa.array(found, kinds)], ["key", "paragraphs", "found"])
+        trim()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, paragraphs bigint, found array<struct<paragraph:bigint,family:string,probability:double,similarity:double>>"
