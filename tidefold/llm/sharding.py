@@ -78,8 +78,8 @@ def hypergeometric_shuffle(df: DataFrame, shards: int, seed: int = 0, block_rows
     Shard sizes are exact and at most one apart. A count of each partition's rows is all that comes to the driver.
     Then, per partition, its row of the hypergeometric matrix says how many rows go to each shard: one colour a shard,
     so a draw costs the same for any number of rows. Rows take these places in random order as they stream by (batch
-    by batch: counts drawn, labels permuted), each with a random number of 63 bits, and one exchange by range of
-    (shard, that number) moves them. Within a shard the order of independent random numbers is a uniform permutation
+    by batch: counts drawn, labels permuted), each with a random number of 63 bits, and one exchange by
+    shard and block moves them. Within a shard the order of independent random numbers is a uniform permutation
     (ties, by place of origin, have a chance of rows ** 2 / 2 ** 64), so a shard of any size is cut into `blocks` of
     about `block_rows` rows, which many tasks order; a block's first slot follows from the blocks' counts, which are
     added up by Spark. The same seed and partitions give the same result, also when a lost task runs again; if a
@@ -99,7 +99,7 @@ def hypergeometric_shuffle(df: DataFrame, shards: int, seed: int = 0, block_rows
     rows = int(before[-1])
     colours = np.array(shard_sizes(rows, shards), np.int64)
     blocks = max(1, math.ceil(rows / shards / block_rows))  # of each shard, by equal ranges of the random number
-    width = (1 << 63) // blocks + 1
+    width = min((1 << 63) // blocks + 1, (1 << 63) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = left = None
