@@ -169,14 +169,14 @@ def test_cotraining_on_held_out_rows(spark, corpus):
 
 
 def two_views(spark, n=2500):
-    """Sources tell good from bad at 0.95; so do words, but of 120 a class each text has only three, so few labels teach few words."""
+    """Sources tell good from bad at 0.95; so do words, but of 60 a class each text has only five, so few labels teach few words."""
     rnd = random.Random(7)
     letters = "bcdfghjklmnp"
-    said = [[f"q{'ab'[c]}{a}{b}{d}" for a in letters for b in letters for d in "ae"][:120] for c in (0, 1)]
+    said = [[f"q{'ab'[c]}{a}{b}{d}" for a in letters for b in letters for d in "ae"][:60] for c in (0, 1)]
     rows, labels = [], []
     for k in range(n):
         good = int(rnd.random() < 0.6)
-        words = [rnd.choice(WORDS) for _ in range(30)] + [rnd.choice(said[good if rnd.random() < 0.95 else 1 - good]) for _ in range(3)]
+        words = [rnd.choice(WORDS) for _ in range(30)] + [rnd.choice(said[good if rnd.random() < 0.95 else 1 - good]) for _ in range(5)]
         rnd.shuffle(words)
         rows.append((k, " ".join(words), f"src{rnd.randrange(3) + 3 * (good if rnd.random() < 0.95 else 1 - good)}"))
         labels.append((k, good))
@@ -196,7 +196,7 @@ def test_rounds_beat_plain_training_with_few_labels(spark):
     flow = models[4].flow
     assert sum(f[2] > 0 and f[3] > 0 for f in flow) >= 2, flow  # metadata teaches content both classes in several rounds
     assert sum(f[0] + f[1] > 0 for f in flow) >= 2, flow  # and content, once taught, teaches metadata
-    assert right[1]["p_content"] > right[0]["p_content"] + 0.05 and right[4]["p_content"] > right[1]["p_content"], right
+    assert right[4]["p_content"] > right[0]["p_content"] + 0.2 and right[4]["p_content"] >= right[1]["p_content"], right
     assert right[4]["score"] >= right[0]["score"] and right[4]["p_metadata"] > 0.9, right
 
 
@@ -265,3 +265,43 @@ def test_prefilter_passes_what_can_be_confirmed():
             seen += 1
             assert license_scan._marked(s), s
     assert seen > 500
+
+
+#: Wordings that are no templates, by family.
+REWORDED = {
+    "Apache": ["This project is licensed under the Apache License, Version 2.0.", "All code here is released under the Apache License, Version 2.0.", "Distributed under the Apache License, Version 2.0, see the file."],
+    "MIT": ["This package is released under the MIT License.", "The code is licensed under the MIT License.", "Everything here is released under the MIT License terms."],
+    "GPL": ["This program is licensed under the GNU General Public License, version 3.", "The work is licensed under the GNU General Public License version 3 only."],
+    "LGPL": ["This module is licensed under the GNU Lesser General Public License, version 2.1."],
+    "AGPL": ["This server is licensed under the GNU Affero General Public License, version 3."],
+    "MPL": ["The files are licensed under the Mozilla Public License, Version 2.0."],
+    "CC-BY": ["This page is licensed under CC BY 4.0.", "under CC BY 4.0", "This text is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA": ["under CC BY-SA 4.0.", "Content licensed under CC BY-SA 4.0.", "The article is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-NC": ["Images licensed under CC BY-NC 4.0."],
+    "CC-BY-ND": ["Photos licensed under CC BY-ND 4.0."],
+    "CC0": ["The data are released under CC0 1.0."],
+    "Proprietary": ["Acme Inc. All rights reserved."],
+}
+
+
+def test_licences_recall_and_calibration_on_other_wordings(spark):
+    rnd = random.Random(6)
+    noise = lambda n: " ".join(rnd.choice(WORDS) for _ in range(n)).capitalize() + "."
+    wanted = [(f, w) for f, own in REWORDED.items() for w in own]
+    clean = [f"{noise(4)} the terms of this work are licensed {noise(5)}" for _ in range(30)] + [noise(12) for _ in range(30)]
+    docs = spark.createDataFrame([(k, f"{noise(9)}\n{w}") for k, (_, w) in enumerate(wanted)] + [(100 + k, t) for k, t in enumerate(clean)], "doc_id bigint, text string")
+    model = license_scan.train(docs)
+    got = {r.key: r.found for r in license_scan.licences(docs, model).collect()}
+    right = [bool(got[k]) and got[k][0].family == f for k, (f, _) in enumerate(wanted)]
+    assert sum(right) >= 0.9 * len(right), [w for w, ok in zip(wanted, right, strict=True) if not ok]
+    assert not any(got[100 + k] for k in range(len(clean)))
+    p = [license_scan.classify(w, model)[1] for _, w in wanted]
+    q = [license_scan.classify(t, model)[1] for t in clean]
+    assert np.mean(p) > 0.9 and np.mean(q) < 0.1  # calibrated: about as sure as it is right
+
+
+def test_licences_edge_cases(spark):
+    line = "Released under the MIT License."
+    docs = spark.createDataFrame([(1, line, "a", 1), (1, line, "b", 2), (None, line, "c", 3), (2, "...\n---\n" + line, "d", 4)], "doc_id bigint, text string, key string, found int")
+    got = license_scan.licences(docs, license_scan.train(docs)).collect()
+    assert sorted(((r.key, r.paragraphs, [f.family for f in r.found]) for r in got), key=str) == [(1, 1, ["MIT"]), (1, 1, ["MIT"]), (2, 1, ["MIT"]), (None, 1, ["MIT"])]

@@ -2,7 +2,7 @@
 
 import random
 
-from tidefold.llm.shingle_sets import near_duplicates
+from tidefold.llm.shingle_sets import similar_documents
 
 
 def shingles(text):
@@ -48,9 +48,9 @@ def test_equals_brute_force(spark):
     texts = corpus()
     df = spark.createDataFrame([*texts.items(), (None, "one two")], "doc_id bigint, text string").repartition(4)
     want = components(texts)
-    got = {r.key: r.component for r in near_duplicates(df).collect()}
+    got = {r.key: r.component for r in similar_documents(df).collect()}
     assert got == want and len(set(want.values())) < len(want)
-    assert near_duplicates(df.limit(0)).collect() == []
+    assert similar_documents(df.limit(0)).collect() == []
 
 
 def test_stage_removes_what_is_similar(spark):

@@ -27,6 +27,8 @@ BITS = 16
 _FIXED = 256
 _STEPS = (0.001, 0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 _SYMBOLS = "#*$%&|<>"
+#: Standard errors by which a hashed feature must tell the labels apart: words are many, values of metadata few.
+_TELLING = {"content": 4.0, "metadata": 0.0}
 _UPPER = {ord(c): None for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _SIGNS = ".,;:!?\"'()[]{}" + _SYMBOLS
 
@@ -187,7 +189,7 @@ def train(
             train_rows = [*own, *taught[v]]
             x, y = Sparse.of([np.array(r[v], np.int64) for r in train_rows]), np.array([r["y"] for r in train_rows], float)
             weight = np.array([r.get("weight", 1.0) for r in train_rows])
-            models[v] = View(*_fitted(x, y, 4.0, weight))
+            models[v] = View(*_fitted(x, y, _TELLING[v], weight))
             checks[v] = _sums(_lists([np.array(r[v], np.int32) for r in held]), models[v])
         if turn == rounds:
             break

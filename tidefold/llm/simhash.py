@@ -78,6 +78,17 @@ def fingerprints_of(texts: list[bytes], size: int = 3) -> np.ndarray:
     return np.packbits((2 * ones > counts[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def prints_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of sets of shingle hashes: a bit is 1 if set in over half of them; 0 for an empty set."""
+    out = np.zeros(len(sets), np.uint64)
+    for k, own in enumerate(sets):
+        ones = np.zeros(64, np.int64)
+        for a in range(0, len(own), 8192):
+            ones += _ones(own[a : a + 8192].view(np.uint64)).sum(0, dtype=np.int64)
+        out[k] = np.packbits((2 * ones > len(own)).astype(np.uint8), bitorder="little").view("<u8")[0]
+    return out
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(key, fp): the SimHash of every whole text as a signed 64-bit number. Null and empty texts get 0."""
 
@@ -125,6 +136,13 @@ def links(nodes: DataFrame) -> DataFrame:
     return met.join(hubs, "offer").where("id <> v").select(F.col("id").alias("u"), "v").distinct()
 
 
+def similar_documents(docs: DataFrame, **options) -> DataFrame:
+    """(key, component) over pairs of texts of a given Jaccard similarity: see `shingle_sets.similar_documents`."""
+    from tidefold.llm import shingle_sets  # which builds on this module
+
+    return shingle_sets.similar_documents(docs, **options)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3) -> DataFrame:
     """(key, fp, component): SimHash of every text, and the smallest key reachable over links of at most 2 bits.
 
