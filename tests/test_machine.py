@@ -14,51 +14,87 @@ def line(interval=100, horizon=0, sid=1):
     return opened(sid, LIST, horizon, interval)[0]
 
 
-@pytest.mark.parametrize("before, event, marks", [([], (1, 1), {}), ([(1, 1)], (2, 2), {(2, 2): (3, (1, 2))}), ([(2, 2)], (1, 1), {(2, 2): (3, (1, 2))}), ([(1, 1)], (1, 1), {})])
-def test_checkpoints_every_second_event(before, event, marks):
-    t = line(2)
-    for e in [*before, event]:
-        t.event(e[0], e[0], e[1])
-    assert t.marks == marks
-    assert t.order == sorted({(e[0], e[0]) for e in [*before, event]})
+class Model:
+    """The machine's rules in the plainest form: sorted lists, everything folded anew."""
+
+    def __init__(self, sid, interval, horizon):
+        self.sid, self.interval, self.horizon, self.clock = sid, interval, horizon, 0
+        self.base, self.events, self.marks = (0, ()), {}, {}
+
+    def fold(self, state, keys):
+        for k in keys:
+            state = (state[0] + self.events[k], (*state[1], self.events[k]))
+        return state
+
+    def event(self, time, event_id, value):
+        key, old = (time, event_id), sorted(self.events)
+        late = bool(old) and time < old[-1][0]
+        if key not in self.events:
+            self.events[key] = value
+            if old and key < old[-1]:
+                self.marks = {k: v for k, v in self.marks.items() if k < key}
+                self.rebuild()
+            else:
+                last = max(self.marks, default=None)
+                tail = [k for k in sorted(self.events) if last is None or k > last]
+                if len(tail) % self.interval == 0:
+                    self.marks[key] = self.fold(self.base if last is None else self.marks[last], tail)
+        return (self.sid, time, old[-1][0]) if late else None
+
+    def rebuild(self):
+        last = max(self.marks, default=None)
+        state = self.base if last is None else self.marks[last]
+        for n, k in enumerate([k for k in sorted(self.events) if last is None or k > last], 1):
+            state = self.fold(state, [k])
+            if n % self.interval == 0:
+                self.marks[k] = state
+
+    def snapshot(self, time, state):
+        key = (time, self.sid)
+        self.marks = {k: v for k, v in self.marks.items() if k < key} | {key: state}
+        self.rebuild()
+        return self.sid, time, max(self.events)[0] if self.events else time
+
+    def advance(self, delta):
+        self.clock += delta
+        edge = self.clock - self.horizon
+        self.events = {k: v for k, v in self.events.items() if k[0] >= edge}
+        past = [k for k in self.marks if k[0] < edge]
+        if past:
+            self.base = self.marks[max(past)]
+        self.marks = {k: v for k, v in self.marks.items() if k[0] >= edge}
+
+    def at(self, time):
+        end = (time, self.sid)
+        last = max((k for k in self.marks if k <= end), default=None)
+        return self.fold(self.base if last is None else self.marks[last], [k for k in sorted(self.events) if k < end and (last is None or k > last)])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_commands_equal_the_plain_model(seed):
+    rnd = random.Random(seed)
+    for _ in range(40):
+        interval, horizon = rnd.choice([1, 2, 3, 5, 100]), rnd.randrange(12)
+        t, m = line(interval, horizon, sid=4), Model(4, interval, horizon)
+        for _ in range(rnd.randrange(60)):
+            what, time = rnd.random(), rnd.randrange(-5, 25)
+            if what < 0.75:
+                one, two = t.event(time, e := rnd.randrange(9), v := rnd.randrange(-5, 6))[1], m.event(time, e, v)
+            elif what < 0.9:
+                state = (rnd.randrange(100, 999), ())
+                one, two = t.snapshot(4, time, state)[1], m.snapshot(time, state)
+            else:
+                freed, one, two = t.advance(d := rnd.randrange(6)), None, m.advance(d)
+                assert freed <= 0
+            assert (one and (one.snapshot_id, one.from_time, one.to_time)) == two
+            assert t.marks == m.marks and t.order == sorted(m.events) and t.base == m.base
+            assert all(t.at(k) == m.at(k) for k in range(-6, 27, 3))
 
 
 def test_snapshot_of_another_entity_is_ignored():
     t = line()
-    assert t.snapshot(2, 5, (10, ())) == (0, None) and not t.marks
-
-
-def test_snapshot_without_events_is_a_checkpoint():
-    t = line()
-    assert t.snapshot(1, 5, (10, (1, 2)))[0] == 32 and t.marks == {(5, 1): (10, (1, 2))}
-
-
-def test_snapshot_between_events():
-    t = line(2)
-    for k, v in ((1, 10), (3, 20), (5, 30)):
-        t.event(k, k, v)
-    t.snapshot(1, 2, (100, (99,)))
-    assert t.marks[(2, 1)] == (100, (99,)) and t.at(6)[0] == 150
-
-
-def test_snapshot_counts_at_its_own_time():
-    t = line()
-    t.snapshot(1, 5, (42, ()))
-    assert t.at(5)[0] == 42
-
-
-def test_advance_drops_and_promotes():
-    t = line(horizon=50)
-    t.clock = 100
-    for k in (40, 60, 80):
-        t.event(k, k, 1)
-    assert t.advance(20) < 0 and t.order == [(80, 80)]
-    t = line(1, horizon=50)
-    for k, v in ((10, 5), (20, 10), (30, 15)):
-        t.event(k, k, v)
-    t.advance(80)
-    assert t.base[0] == 15 and len(t.order) == 1
-    assert line().advance(10) == 0
+    t.event(3, 3, 9)
+    assert t.snapshot(8, 2, (70, ())) == (0, None) and not t.marks and t.at(4)[0] == 9
 
 
 def test_changes():
