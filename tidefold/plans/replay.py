@@ -21,12 +21,18 @@ def signed_sum() -> Fold:
     return Fold(start=lambda _: 0, step=lambda state, value: state + value)
 
 
+_BROADCAST_ADVANCES = 100_000
+
+
 def with_advances(commands: DataFrame) -> DataFrame:
-    """Advances dealt to every entity whose first command other than a query came before; all else as it is."""
+    """Advances without an entity dealt to every entity whose first command other than a query came before; all else as it is."""
     known = commands.where("op IN ('event', 'snapshot')").groupBy("snapshot_id").agg(F.min("seq").alias("_first"))
-    moves = commands.where("op = 'advance'").drop("snapshot_id")
-    each = known.join(F.broadcast(moves), F.col("seq") > F.col("_first")).drop("_first")
-    return commands.where("op <> 'advance'").unionByName(each)
+    moves = commands.where("op = 'advance' AND snapshot_id IS NULL").drop("snapshot_id")
+    # one row an entity and advance, as each entity's timeline must see them; few advances go along with the tasks
+    if moves.limit(_BROADCAST_ADVANCES + 1).count() <= _BROADCAST_ADVANCES:
+        moves = F.broadcast(moves)
+    each = known.join(moves, F.col("seq") > F.col("_first")).drop("_first")
+    return commands.where("op <> 'advance' OR snapshot_id IS NOT NULL").unionByName(each)
 
 
 def apply(line: Timeline | None, row: dict, fold: Fold, horizon: int, interval: int) -> tuple[Timeline | None, tuple | None]:
