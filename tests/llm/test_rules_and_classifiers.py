@@ -200,6 +200,29 @@ def test_rounds_beat_plain_training_with_few_labels(spark):
     assert right[4]["score"] >= right[0]["score"] and right[4]["p_metadata"] > 0.9, right
 
 
+def test_surest_rows_of_each_view(spark):
+    rnd = random.Random(5)
+    rows = [(k, [rnd.randrange(400)], [rnd.randrange(400)]) for k in range(2000)] + [(7, [399], [399])] * 30
+    free = spark.createDataFrame(rows, "key bigint, content array<int>, metadata array<int>").repartition(7)
+    weights = np.zeros(1 << cotraining.BITS)
+    weights[:400] = np.arange(400) // 4  # ties
+    models = {"content": cotraining.View(weights, -40.0), "metadata": cotraining.View(-weights, 40.0)}
+    jobs = [("content", "metadata", 1, 20.0, 9), ("content", "metadata", 0, -30.0, 5), ("metadata", "content", 1, None, 0), ("metadata", "content", 0, 0.0, 6)]
+    found = cotraining._surest(free, models, jobs, {"3", "4"})
+    for (view, _, good, bound, most), got in zip(jobs, found, strict=True):
+        if bound is None:
+            assert got == []
+            continue
+        sign, best = (1 if good else -1), {}
+        for k, *lists in rows:
+            own = sign * models[view](lists[view == "metadata"])
+            if k not in (3, 4) and own >= sign * bound:
+                best[k] = max(best.get(k, (own, *lists)), (own, *lists))
+        have = [best[int(r["key"])] for r in got]
+        assert [x[1:] for x in have] == [(r["content"], r["metadata"]) for r in got]
+        assert len(have) >= most and [x[0] for x in have] == sorted((x[0] for x in best.values()), reverse=True)[: len(have)]
+
+
 def test_cotraining_edge_cases(spark, corpus):
     docs, labels = corpus
     model = cotraining.train(docs, labels)
@@ -210,6 +233,9 @@ def test_cotraining_edge_cases(spark, corpus):
     one = {r.doc_id: r.quality_score for r in out.where("doc_id < 900").collect()}
     two = {r.key: r.score for r in cotraining.score(docs, model).where("key < 900").collect()}
     assert one == two
+    kept = cotraining.features(odd, model.columns, carry=True)
+    through = cotraining.scored(odd, model, known=kept)
+    assert through.columns == out.columns and through.exceptAll(out).count() == out.exceptAll(through).count() == 0
     twice = docs.where("doc_id < 300").unionAll(docs.where("doc_id < 300"))
     scores = {}
     for r in cotraining.score(twice, model).collect():

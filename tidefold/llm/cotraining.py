@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tidefold.llm.common import slices, text_of, trim
 from tidefold.llm.linear import Sparse, fit, platt, sigmoid, telling
@@ -108,19 +108,31 @@ def _fitted(x: Sparse, y: np.ndarray, z: float, weight: np.ndarray) -> tuple[np.
     return weights, bias
 
 
-def features(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, content, metadata): both views' features of every whole text, as numbers, written to the checkpoint folder."""
+def features(docs: DataFrame, columns: tuple[str, ...], key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+    """(key, content, metadata): both views' features of every whole text, as numbers, written to the checkpoint folder.
+
+    With `carry`, `row` has the whole input row beside them, so that what is scored needs no join back to it.
+    """
+    read = _read(docs, key, text, columns, carry)
+    kind = [read.schema["key"], StructField("content", ArrayType(IntegerType())), StructField("metadata", ArrayType(IntegerType()))]
+    if carry:
+        kind.append(read.schema["row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 20, "text"):
-            texts = b.column("text").to_pylist()
-            own = [np.sort(np.array(content_features(t), np.int32)) for t in texts]
-            meta = [np.array(metadata_features(m, t), np.int32) for m, t in zip(b.column("meta").to_pylist(), texts, strict=True)]
-            yield pa.record_batch([b.column("key"), _lists(own), _lists(meta)], ["key", "content", "metadata"])
+            rows = [b.column("row")] if carry else []
+            yield pa.RecordBatch.from_arrays([b.column("key"), *_views(b), *rows], ["key", "content", "metadata", "row"][: 3 + carry])
         trim()
 
-    kind = docs.schema[key].dataType.simpleString()
-    return written(_read(docs, key, text, columns).mapInArrow(run, f"key {kind}, content array<int>, metadata array<int>"))
+    return written(read.mapInArrow(run, StructType(kind)))
+
+
+def _views(b: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """Both views' features of a batch's texts and metadata."""
+    texts = b.column("text").to_pylist()
+    own = [np.sort(np.array(content_features(t), np.int32)) for t in texts]
+    meta = [np.array(metadata_features(m, t), np.int32) for m, t in zip(b.column("meta").to_pylist(), texts, strict=True)]
+    return _lists(own), _lists(meta)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -135,15 +147,14 @@ def _sums(lists: pa.ListArray, view: View) -> np.ndarray:
     return view.bias + np.bincount(owner, weights=view.weights[lists.flatten().to_numpy()], minlength=len(sizes))
 
 
-def _scores(read: DataFrame, content: View, metadata: View) -> DataFrame:
-    """`read` (with both views' features) and the views' log-odds `s_content` and `s_metadata`."""
-    names = read.columns
+def _scores(read: DataFrame, content: View, metadata: View, names: list[str]) -> DataFrame:
+    """Columns `names` of `read` (which has both views' features) and the views' log-odds `s_content` and `s_metadata`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sums(b.column("content"), content)), pa.array(_sums(b.column("metadata"), metadata))], [*names, "s_content", "s_metadata"])
+            yield pa.RecordBatch.from_arrays([*map(b.column, names), pa.array(_sums(b.column("content"), content)), pa.array(_sums(b.column("metadata"), metadata))], [*names, "s_content", "s_metadata"])
 
-    return read.mapInArrow(run, StructType([*read.schema, StructField("s_content", DoubleType()), StructField("s_metadata", DoubleType())]))
+    return read.mapInArrow(run, StructType([*[read.schema[c] for c in names], StructField("s_content", DoubleType()), StructField("s_metadata", DoubleType())]))
 
 
 def train(
@@ -169,7 +180,7 @@ def train(
     flat = View(np.zeros(1 << BITS), prior)
     if not 0 < ones < len(labelled):
         return Model(flat, flat, prior, columns)
-    every = features(docs, columns, key, text) if known is None else known
+    every = (features(docs, columns, key, text) if known is None else known).select("key", "content", "metadata")
     kind = docs.schema[key].dataType.simpleString()
     sample = docs.sparkSession.createDataFrame([(r["key"], r["y"]) for r in labelled], f"key {kind}, y int")
     rows = every.join(F.broadcast(sample), "key").select(F.col("key").cast("string").alias("key"), "y", "content", "metadata").toArrow().to_pylist()
@@ -184,6 +195,7 @@ def train(
     free = every.join(F.broadcast(sample.select("key")), "key", "left_anti").where("key is not null")
     flow: list[tuple[int, int, int, int]] = []
     models, checks = {}, {}
+    gone: set[str] = set()
     for turn in range(rounds + 1):
         for v in views:
             train_rows = [*own, *taught[v]]
@@ -193,24 +205,21 @@ def train(
             checks[v] = _sums(_lists([np.array(r[v], np.int32) for r in held]), models[v])
         if turn == rounds:
             break
-        scored = _scores(free, models["content"], models["metadata"])
-        gone = {r["key"] for t in taught.values() for r in t}
-        counts = []
+        # what each view may label: (view, its pupil, label, bound, most)
+        jobs = []
         for v, other in (views, views[::-1]):
             for good in (1, 0):
                 share = ones / len(labelled) if good else 1 - ones / len(labelled)
                 bound = _bound(checks[v], truth, good, sure)
                 most_ = max(1, round(teach * min(1.0, share / max(1e-9, 1 - share)))) if bound is not None else 0
-                new: list[dict] = []
-                if most_:
-                    s = F.col(f"s_{v}")
-                    chosen = scored.where((s >= bound) if good else (s <= bound)).orderBy((-s if good else s), F.xxhash64(F.col("key").cast("string")), "key")
-                    for r in chosen.select(F.col("key").cast("string").alias("key"), "content", "metadata").limit(most_ + len(gone)).toArrow().to_pylist():
-                        if r["key"] not in gone and len(new) < most_:
-                            gone.add(r["key"])
-                            new.append(r | {"y": good, "weight": 0.5})
-                taught[other] += new
-                counts.append(len(new))
+                jobs.append((v, other, good, bound, most_))
+        surest = _surest(free, models, jobs, gone)
+        counts = []
+        for (_, other, good, _, most_), found in zip(jobs, surest, strict=True):
+            new = [r | {"y": good, "weight": 0.5} for r in found if r["key"] not in gone][:most_]
+            gone |= {r["key"] for r in new}
+            taught[other] += new
+            counts.append(len(new))
         flow.append(tuple(counts))
         if not sum(counts):
             break
@@ -221,6 +230,40 @@ def train(
     return Model(out[0], out[1], prior, columns, flow)
 
 
+def _surest(free: DataFrame, models: dict[str, View], jobs: list[tuple], gone: set[str]) -> list[list[dict]]:
+    """For each job the rows (key, content, metadata) its view is surest of, enough of them that other jobs' picks can go.
+
+    One pass over the features ranks keys by score for all jobs together, a second fetches what was ranked. Ranks are
+    taken in groups of tasks first, so the last one sees few rows however many tasks there are.
+    """
+    need = sum(job[4] for job in jobs)
+    if not need:
+        return [[] for _ in jobs]
+    spark, name = free.sparkSession, F.col("key").cast("string")
+    if gone:
+        taken = spark.createDataFrame([(k,) for k in sorted(gone)], "taken string")
+        free = free.join(F.broadcast(taken), name == F.col("taken"), "left_anti")
+    signed = [F.col(f"s_{v}") * (1 if good else -1) for v, _, good, _, _ in jobs]
+    offers = [F.when(own >= F.lit(bound if good else -bound), F.struct(F.lit(j).alias("job"), own.alias("own"))) for j, (own, (_, _, good, bound, _)) in enumerate(zip(signed, jobs, strict=True)) if bound is not None]
+    ranked = _scores(free, models["content"], models["metadata"], ["key"]).select(name.alias("key"), F.explode(F.array_compact(F.array(*offers))).alias("offer"))
+    # a repeated key takes one place
+    ranked = ranked.groupBy("offer.job", "key").agg(F.max("offer.own").alias("own")).withColumn("group", F.pmod(F.spark_partition_id(), F.lit(256)))
+    for within in (("job", "group"), ("job",)):
+        order = Window.partitionBy(*within).orderBy(F.desc("own"), F.xxhash64("key"), "key")
+        ranked = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= need)
+    places = {(r["job"], r["key"]): r["place"] for r in ranked.collect()}
+    chosen = spark.createDataFrame(list(places), "job int, chosen string")
+    rows = _scores(free.join(F.broadcast(chosen.select("chosen").distinct()), name == F.col("chosen")), models["content"], models["metadata"], ["key", "content", "metadata"])
+    own = F.element_at(F.array(*signed), F.col("job") + 1)
+    best = rows.join(F.broadcast(chosen), name == F.col("chosen")).groupBy("job", "chosen").agg(F.max(F.struct(own.alias("own"), "content", "metadata")).alias("r"))
+    out: list[list[dict]] = [[] for _ in jobs]
+    for r in best.select("job", F.col("chosen").alias("key"), "r.content", "r.metadata").toArrow().to_pylist():
+        out[r.pop("job")].append(r)
+    for j, found in enumerate(out):
+        found.sort(key=lambda r, j=j: places[j, r["key"]])
+    return out
+
+
 def _bound(scores: np.ndarray, truth: np.ndarray, good: int, sure: float) -> float | None:
     """The widest score from which on (for bad: down from which) a share of `sure` of the held-out rows is right; None if fewer than 5 are."""
     order = np.argsort(-scores if good else scores, kind="stable")
@@ -229,9 +272,9 @@ def _bound(scores: np.ndarray, truth: np.ndarray, good: int, sure: float) -> flo
     return float(scores[order[ok[-1]]]) if len(ok) else None
 
 
-def _read(docs: DataFrame, key: str, text: str, columns: tuple[str, ...]) -> DataFrame:
+def _read(docs: DataFrame, key: str, text: str, columns: tuple[str, ...], carry: bool) -> DataFrame:
     meta = F.struct(*[docs[c].alias(c) for c in columns]) if columns else F.struct(F.lit(None).cast("string").alias("none"))
-    return docs.select(docs[key].alias("key"), text_of(docs, text).alias("text"), meta.alias("meta"))
+    return docs.select(docs[key].alias("key"), text_of(docs, text).alias("text"), meta.alias("meta"), *[F.struct(*[docs[c] for c in docs.columns]).alias("row")] * carry)
 
 
 def _combined(one: np.ndarray, two: np.ndarray, prior: float) -> np.ndarray:
@@ -256,22 +299,25 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return every.mapInArrow(run, f"key {kind}, score double, p_content double, p_metadata double")
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quality_score", known: DataFrame | None = None) -> DataFrame:
     """`docs` with all its columns and the combined score in `into` (an input column of that name is replaced).
 
-    The input travels in a struct, so its names can't clash with any used here. Rows as for `score`.
+    The input travels in a struct, so its names can't clash with any used here. Rows as for `score`. `known`: what
+    `features` gave for `docs` with `carry`; its rows are those returned.
     """
-    rest = docs.drop(into)
-    meta = F.struct(*[rest[c].alias(c) for c in model.columns]) if model.columns else F.struct(F.lit(None).cast("string").alias("none"))
+    rest, fresh = docs.drop(into), known is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20, "text"):
-            texts = b.column("text").to_pylist()
-            one = np.array([model.content(content_features(t)) for t in texts])
-            two = np.array([model.metadata(metadata_features(m, t)) for m, t in zip(b.column("meta").to_pylist(), texts, strict=True)])
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(_combined(one, two, model.prior))], ["row", "score"])
+        for b in slices(batches, 1 << 20, "text") if fresh else batches:
+            content, metadata = _views(b) if fresh else (b.column("content"), b.column("metadata"))
+            both = _combined(_sums(content, model.content), _sums(metadata, model.metadata), model.prior)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(both)], ["row", "score"])
         trim()
 
-    carried = rest.select(F.struct(*[rest[c] for c in rest.columns]).alias("row"), text_of(rest, text).alias("text"), meta.alias("meta"))
-    out = carried.mapInArrow(run, StructType([carried.schema["row"], StructField("score", DoubleType())]))
+    if fresh:
+        meta = F.struct(*[rest[c].alias(c) for c in model.columns]) if model.columns else F.struct(F.lit(None).cast("string").alias("none"))
+        read = rest.select(F.struct(*[rest[c] for c in rest.columns]).alias("row"), text_of(rest, text).alias("text"), meta.alias("meta"))
+    else:
+        read = known.select("row", "content", "metadata")
+    out = read.mapInArrow(run, StructType([read.schema["row"], StructField("score", DoubleType())]))
     return out.select(*[F.col("row")[c].alias(c) for c in rest.columns], F.col("score").alias(into))
