@@ -60,3 +60,38 @@ def test_stage_removes_what_is_similar(spark):
     want = components(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted({*want.values()})
+
+
+def test_sketches_bound_the_difference(spark):
+    import numpy as np
+
+    from tidefold.llm import shingle_sets
+
+    rnd = np.random.default_rng(4)
+    rows = []
+    for n, m, common in [(0, 0, 0), (1, 1, 1), (400, 500, 390), (512, 513, 500), (900, 1100, 850), (3000, 3700, 2990), (5000, 4100, 4000), (20_000, 16_000, 0)]:
+        all_ = np.unique(rnd.integers(-(2**63), 2**63, n + m - common, np.int64))
+        rnd.shuffle(all_)
+        a, b = all_[:n], all_[n - common :]
+        rows += [(n + m - 2 * common, f(a).tolist(), f(b).tolist()) for f in (shingle_sets.sketch_of, shingle_sets.fine_sketch_of)]
+    for r in spark.createDataFrame(rows, "differ bigint, a array<bigint>, b array<bigint>").selectExpr("differ", f"{shingle_sets._apart('a', 'b')} AS least", f"{shingle_sets._apart('b', 'a')} AS turned", "size(a) + size(b) AS n").collect():
+        assert r.least == r.turned <= r.differ and (r.least > 0.7 * r.differ or r.n in (0, 16, 32) or r.differ == 36_000), r
+
+
+def test_sets_of_texts_far_apart_are_not_shipped(spark, monkeypatch):
+    """Neighbours share a passage of rare shingles, so each pair is a candidate; only the few similar ones ship sets."""
+    from tidefold.llm import shingle_sets
+
+    rnd = random.Random(6)
+    for n in (300, 3000):
+        words = [[f"w{rnd.randrange(10**6)}" for _ in range(n)] for _ in range(60)]
+        for a, b in zip(words, words[1:], strict=False):
+            b[: n // 10] = a[-(n // 10) :]
+        texts = {k: " ".join(w) for k, w in enumerate(words)} | {60 + k: " ".join(words[k][:-3]) for k in range(5)}
+        shipped = []
+        beside = shingle_sets._beside
+        monkeypatch.setattr(shingle_sets, "_beside", lambda texts, by_key, how, numbers=None, f=beside, s=shipped: (s.append(numbers or 0), f(texts, by_key, how, numbers))[1])
+        df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+        got = {r.key: r.component for r in similar_documents(df).collect()}
+        monkeypatch.undo()
+        assert got == {k: k % 60 for k in texts} and 5 <= sum(shipped) <= 10, (n, shipped)
