@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidefold.llm import pfp_dedup
@@ -160,3 +161,56 @@ def test_more_rows_than_two_bytes_can_number(spark):
         assert (got.n, got.first) == (71999, 0)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def _asked(texts):
+    """Records of anchors whose contexts would be shipped."""
+    b = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts), pa.int32()), pa.array([t.decode() for t in texts])], ["key", "th", "text"])
+    return sum(sum(0 <= v < pfp_dedup._BUSY for v in x.column("value").to_pylist()) for x in pfp_dedup._shared(pfp_dedup._parsed([b], 1)))
+
+
+def test_anchors_without_a_common_side_are_not_shipped():
+    """Texts of few words share nearly all runs of 16 bytes, but few of the 32 that equal windows must share."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(20)]
+    texts = [" ".join(rnd.choice(words) for _ in range(60)).encode() for _ in range(100)]
+    anchors = sum(len(pfp_dedup.parse([t]).at) for t in texts)
+    assert 0 < _asked(texts) < anchors // 2
+
+
+def test_common_anchors_come_out_whole(monkeypatch):
+    """An anchor with more open records than sides can tell apart leaves one record; all the others come out."""
+    n = 200
+    records = [np.full(n, 7), np.arange(n), np.arange(1, n + 1) * 0x10001, np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    state, out = pfp_dedup._shared_anchors(None, records)
+    assert len(state[0]) == n and out.num_rows == 0
+    monkeypatch.setattr(pfp_dedup, "_COMMON", 50)
+    state, out = pfp_dedup._shared_anchors(None, records)
+    assert len(state[0]) == 1 and state[5][0] == n and out.num_rows == n
+    state, out = pfp_dedup._shared_anchors(state, [c[:3] + n * (i in (1, 3)) for i, c in enumerate(records)])
+    assert len(state[0]) == 1 and state[5][0] == n + 3 and out.num_rows == 3
+
+
+def test_a_context_that_one_document_has_twice_goes_twice(monkeypatch):
+    """The smaller document comes in a later chunk: both places of the larger one go."""
+    monkeypatch.setattr(pfp_dedup, "_CHUNK", 1)
+    context = np.frombuffer(bytes(range(65, 149)), "S84")
+    batches = []
+    for key, at in ((9, [100, 300]), (1, [500])):
+        n = len(at)
+        columns = [np.repeat(context, n), np.array(at, "<u4"), np.zeros(n, "u1"), np.full(n, 34, "u1")]
+        batches.append(pfp_dedup._emit(list(pfp_dedup._blob_rows(pfp_dedup._CONTEXTS, np.zeros(n, np.int64), columns, np.zeros(n, np.int64), np.array([[key, 0]], np.int64)))))
+    spans = [(k, -1 - v >> 31) for b in pfp_dedup._repeats(iter(batches)) for k, _, v, _ in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(spans) == [(9, 66), (9, 266)]
+
+
+def test_shuffle_files_of_what_is_written_are_deleted(spark, monkeypatch):
+    from tidefold.sources import checkpoints
+
+    spark.conf.unset(checkpoints._CLEANUP)
+    default, seen = spark.conf.get(checkpoints._CLEANUP), []
+    writer = type(spark.range(1).write)
+    parquet = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, path: (seen.append(spark.conf.get(checkpoints._CLEANUP)), parquet(self, path))[1])
+    assert checkpoints.written(spark.range(10).repartition(3, "id")).count() == 10
+    assert seen == ["true"] and spark.conf.get(checkpoints._CLEANUP) == default

@@ -38,6 +38,8 @@ _CHUNK = 4 << 20
 #: in _MOST_HOT of all, so that no more than _MOST_HOT anchors can be such.
 _HOT = 4096
 _MOST_HOT = 1_000_000
+#: Open records of one anchor from which on their sides, of 16 bits, no longer tell them apart: all of them are looked at.
+_COMMON = 1 << 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW = np.uint64(0xFFFFFFFF)
 _48 = np.uint64((1 << 48) - 1)
@@ -67,6 +69,8 @@ class Parse:
     first: np.ndarray  # windows first..last have this anchor
     last: np.ndarray
     hash: np.ndarray
+    left: np.ndarray  # hashes of the ANCHOR bytes before and after the anchor: a window holds one or the other
+    right: np.ndarray  # left if it starts there or before, else right; 0 where no window of this anchor does
     phrase: np.ndarray
     tag: np.ndarray  # of each phrase, two numbers
     head: np.ndarray  # first anchor of each phrase
@@ -131,7 +135,9 @@ def parse(texts: list[bytes], length: int = LENGTH) -> Parse | None:
     digest = xxhash.xxh3_128_digest
     tag = b"".join(digest(data[x:y], p << 32 | q & 0xFFFFFFFF) for x, y, (p, q) in zip(lo.tolist(), hi.tolist(), core, strict=True))
     base = starts[piece]
-    return Parse(piece, a - base, first - base, last - base, ha, np.cumsum(begins) - 1, np.frombuffer(tag, "<u8").reshape(-1, 2), head)
+    side = lambda at, there: np.where(there, (h[np.where(there, at, 0)] >> np.uint64(40)) % np.uint64(0xFFFF) + np.uint64(1), np.uint64(0)).astype(np.uint16)
+    left, right = side(a - ANCHOR, first <= a - ANCHOR), side(a + ANCHOR, last > a - ANCHOR)
+    return Parse(piece, a - base, first - base, last - base, ha, left, right, np.cumsum(begins) - 1, np.frombuffer(tag, "<u8").reshape(-1, 2), head)
 
 
 def _by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -163,7 +169,7 @@ _SETTLED, _BUSY = 1 << 62, 1 << 61
 _ANCHORS, _PHRASES, _CONTEXTS, _DIRECT = 0, 1, 2, 3
 #: Columns of the records in a blob. Documents are places in the row's own table of keys and text hashes.
 _KINDS = {
-    _ANCHORS: ["<u4", "<u2", "<u8", "<u4"],
+    _ANCHORS: ["<u4", "<u2", "<u8", "<u2", "<u2", "<u4"],
     _PHRASES: ["<u8", "<u8", "<u4", "<u4", "<u4"],
     _CONTEXTS: [f"S{2 * LENGTH - ANCHOR}", "<u4", "u1", "u1", "<u4"],
     _DIRECT: ["<u4", "<u4", "<u4"],
@@ -246,7 +252,7 @@ def _parsed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             rows += _blob_rows(_PHRASES, (one[own] % np.uint64(buckets)).astype(np.int64), [one[own], two[own], start[own].astype("<u4"), end[own].astype("<u4")], pd[own], table)
             keep = own[p.phrase]
             h, tag = p.hash[keep], p.context_tags(texts, keep)
-            rows += _blob_rows(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), tag], doc[p.piece[keep]], table)
+            rows += _blob_rows(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), tag, p.left[keep].astype("<u2"), p.right[keep].astype("<u2")], doc[p.piece[keep]], table)
             yield _emit(rows)
     trim()
 
@@ -295,33 +301,51 @@ def _first_phrases(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tup
     return [c[keep] for c in (one, two, start, end, key, th)], out
 
 
+def _meeting(anchor: np.ndarray, side: np.ndarray, tag: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether records have others of their anchor and side, in several contexts and documents. Side 0 is none."""
+    out = np.zeros(len(anchor), bool)
+    there = np.flatnonzero(side)
+    unit = anchor[there].view(np.uint64) << np.uint64(16) | side[there].view(np.uint64)
+    order = np.argsort(unit, kind="stable")
+    which = there[order]
+    heads = _heads(unit[order])
+    if len(heads):
+        several = lambda x: np.minimum.reduceat(x, heads) != np.maximum.reduceat(x, heads)
+        out[which] = np.repeat(several(tag[which]) & several(key[which]), np.diff(np.append(heads, len(which))))
+    return out
+
+
 def _shared_anchors(state: list[np.ndarray] | None, new: list[np.ndarray]) -> tuple[list[np.ndarray], pa.RecordBatch]:
-    """Anchors to look at come out: those whose windows a smaller document has, all alike (marked _SETTLED), and those
-    that stand in several contexts and documents. Of the others what decides later chunks stays.
+    """Records of anchors to look at come out: those whose windows a smaller document has, all alike (marked _SETTLED),
+    and those that, by the anchor and one of its sides, stand in several contexts and documents: equal windows have
+    the anchor and a side in common. All but the settled ones stay, as later chunks may meet them.
 
-    The state's `seen` counts the records of an anchor known to be shared, whose later records come out at once, so a
-    very common anchor leaves one record here.
+    The state's `seen` is -1 for records that came out. An anchor of _COMMON open records leaves one, whose `seen`
+    counts them; its later records come out at once.
     """
-    anchor, tag, key, th, seen = _joined(state, new)
+    anchor, tag, sides, key, th, seen = _joined(state, new)
     order = np.lexsort((key, tag, anchor))
-    anchor, tag, key, th, seen = (c[order] for c in (anchor, tag, key, th, seen))
+    anchor, tag, sides, key, th, seen = (c[order] for c in (anchor, tag, sides, key, th, seen))
     if not len(anchor):
-        return [anchor, tag, key, th, seen], _found(key, th, anchor, tag)
+        return [anchor, tag, sides, key, th, seen], _found(key, th, anchor, tag)
     heads = _heads(anchor)
     span = np.diff(np.append(heads, len(anchor)))
-    shared = (np.minimum.reduceat(tag, heads) != np.maximum.reduceat(tag, heads)) & (np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads))
-    before = np.add.reduceat(seen, heads)
-    shared |= before > 0
-    each = np.repeat(shared, span)
-    settled = (key > _least((anchor, tag), key)) & (seen == 0)
-    fresh = settled | (each & (seen == 0))
+    settled = (key > _least((anchor, tag), key)) & (seen <= 0)
+    open_ = np.add.reduceat(((seen <= 0) & ~settled).astype(np.int64), heads)
+    before = np.add.reduceat(np.maximum(seen, 0), heads)
+    common = (before > 0) | (open_ >= _COMMON)
+    several = (np.minimum.reduceat(tag, heads) != np.maximum.reduceat(tag, heads)) & (np.minimum.reduceat(key, heads) != np.maximum.reduceat(key, heads))
+    asked = np.repeat(common, span)
+    near = np.flatnonzero(np.repeat(several & ~common, span))
+    asked[near] = _meeting(anchor[near], sides[near] & 0xFFFF, tag[near], key[near]) | _meeting(anchor[near], sides[near] >> 16, tag[near], key[near])
+    fresh = (settled | asked) & (seen == 0)
     out = _found(key[fresh], th[fresh], np.where(settled, anchor | _SETTLED, anchor)[fresh], np.where(settled, tag, 0)[fresh])
     is_head = np.zeros(len(anchor), bool)
     is_head[heads] = True
+    each = np.repeat(common, span)
     keep = np.where(each, is_head, ~settled)
-    now = before + np.add.reduceat(((seen == 0) & ~settled).astype(np.int64), heads)
-    seen = np.where(each, np.repeat(now, span), 0)
-    return [c[keep] for c in (anchor, tag, key, th, seen)], out
+    seen = np.where(each, np.repeat(before + open_, span), np.where(asked, -1, seen))
+    return [c[keep] for c in (anchor, tag, sides, key, th, seen)], out
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +360,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases, out = _first_phrases(phrases, chunk[_PHRASES])
             yield out
         if _ANCHORS in chunk:
-            low, high, tag, key, th = chunk[_ANCHORS]
-            held.append(np.stack((low.astype(np.int64) | high.astype(np.int64) << 32, tag.view(np.int64), key, th.astype(np.int64), np.zeros(len(key), np.int64))))
+            low, high, tag, before, after, key, th = chunk[_ANCHORS]
+            held.append(np.stack((low.astype(np.int64) | high.astype(np.int64) << 32, tag.view(np.int64), before.astype(np.int64) | after.astype(np.int64) << 16, key, th.astype(np.int64), np.zeros(len(key), np.int64))))
             # new records are taken in once they are as many as the state, so sorting stays in proportion to the input
             if anchors is None or sum(x.shape[1] for x in held) >= len(anchors[0]):
                 anchors, out = _shared_anchors(anchors, list(np.concatenate(held, axis=1)))
@@ -346,9 +370,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if held:
         anchors, out = _shared_anchors(anchors, list(np.concatenate(held, axis=1)))
         yield out
-    if anchors is not None:  # of anchors with many records, how many
-        hot = anchors[4] >= _HOT
-        yield _found(anchors[2][hot] * 0, anchors[3][hot] * 0, anchors[0][hot] | _BUSY, anchors[4][hot])
+    if anchors is not None and len(anchors[0]):  # of anchors with many records, how many
+        heads = _heads(anchors[0])
+        count = np.add.reduceat(np.abs(anchors[5]), heads)
+        hot, count = anchors[0][heads][count >= _HOT], count[count >= _HOT]
+        yield _found(hot * 0, hot * 0, hot | _BUSY, count)
     trim()
 
 
@@ -465,8 +491,8 @@ def corpus_order(dictionary: np.ndarray, lo: np.ndarray, hi: np.ndarray, size: i
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans of windows that some smaller document has, from the contexts around shared anchors.
 
-    A chunk's new records join what stayed of earlier ones once they are as many: of each context, the occurrences
-    of its first document with a window not yet settled; so copies, however many, don't gather here.
+    A chunk's new records join what stayed of earlier ones once they are as many: of each context, all occurrences
+    in its first document with a window not yet settled; so copies, however many, don't gather here.
     """
     left, size = LENGTH - ANCHOR, 2 * LENGTH - ANCHOR
     state: list[np.ndarray] | None = None
@@ -494,9 +520,8 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r = rec[a]
             out = _found(key[r], th[r], _span(at[r] - left + own[a], at[r] - left + own[z] + LENGTH))
         open_ = np.bincount(rec[~late], minlength=len(n)) > 0
-        first = np.zeros(len(n), bool)
-        first[heads] = True
-        keep = open_ & first  # of equal contexts the smallest document's decides all later ones
+        # of equal contexts the smallest document's decide all later ones; each of them goes if a smaller document comes
+        keep = open_ & (key == key[heads][phrase])
         return [c[keep] for c in (context, at, lo, hi, key, th)], out
 
     for chunk in _gathered(batches):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,9 +48,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's own switch: the shuffle files of a query go when it has ended, not when the driver's garbage is collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Queries begun in here leave no shuffle files behind."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """As `checkpointed`, in Parquet: smaller, for results of many numbers."""
+    """As `checkpointed`, in Parquet: smaller, for results of many numbers. What was shuffled for it is deleted."""
     spark = df.sparkSession
     path = scratch(spark, "written")
-    df.write.parquet(path)
+    with _shuffles_released(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
