@@ -132,3 +132,25 @@ def test_divided_keys_equal_brute_force(spark, monkeypatch, hot):
     lines = [x for x in dict.fromkeys(lines) if len(x) >= 40]
     got = {r.key for r in near_duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).where("size(near) > 0").collect()}
     assert got == {i for i, x in enumerate(lines) if any(distance(x, y) <= 2 for y in lines[:i])}
+
+
+def test_near_copies_beyond_the_edits_are_not_divided_again_and_again(spark, monkeypatch):
+    """Hundreds of lines that share most segments but differ in several words: compared at once, with right results."""
+    from tidefold.llm import line_dedup
+
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(45)]
+    lines = []
+    for _ in range(200):
+        own = base[:]
+        for i in rnd.sample(range(45), 3):
+            own[i] = word()
+        lines.append(" ".join(own))
+    lines += [edited(rnd, x, 2, "xyz") for x in lines[:30]]
+    divided = []
+    settled = line_dedup._settled
+    monkeypatch.setattr(line_dedup, "_settled", lambda each, *rest: (divided.append(each.count()), settled(each, *rest))[1])
+    got = {r.key for r in near_duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")).where("size(near) > 0 OR size(exact) > 0").collect()}
+    assert got == {i for i, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in lines[:i])}
+    assert sum(divided) < 12 * len(lines), divided

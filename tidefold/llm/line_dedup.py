@@ -14,8 +14,9 @@ EDITS = 2
 LEAST = 40
 #: What a blank line is made of.
 _BLANK = " \t\r\x0b\x0c"
-#: Lines with a common segment from which on that segment is not enough to compare them one by one.
-HOT = 64
+#: Lines with a common segment from which on that segment is not enough to compare them one by one: to divide a line
+#: anew makes twelve entries with the rest of the line for each of its keys, to compare two lines' letter counts some 30 additions.
+HOT = 512
 
 
 class _Places:
@@ -85,7 +86,7 @@ def _letters(line: str) -> Column:
 
 def _alike(a: str, b: str, edits: int) -> Column:
     """Whether letter counts allow `edits` edits: each edit moves them by two at most."""
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> abs(x - y)), 0, (s, x) -> s + x) <= {2 * edits}")
+    return F.expr(f"{' + '.join(f'abs({a}[{i}] - {b}[{i}])' for i in range(len(_LETTERS)))} <= {2 * edits}")
 
 
 def within(a: str, b: str, edits: int = EDITS) -> Column:
@@ -195,7 +196,7 @@ def near_duplicate_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     left = "transform(array_except(sequence(0, size(ls) - 1), coalesce(exact, array())), i -> struct(i AS n, ls[i] AS line))"
     distinct = texts.join(exact, "key", "left").select("key", F.explode(F.expr(f"transform(array(split(text, '\\n')), ls -> {left})[0]")).alias("l")).select("key", "l.n", "l.line").where(F.length("line") >= least)
     offered = entries(distinct.select(places.of("key", "n").alias("place"), "line"), edits).repartition(parts, "key")
-    shared = offered.join(_shared(offered), F.col("key") == F.col("k")).groupBy("place").agg(F.collect_set(F.struct("key", "probe", "hub", "n")).alias("keys"))
+    shared = offered.join(_shared(offered).hint("shuffle_hash"), F.col("key") == F.col("k")).groupBy("place").agg(F.collect_set(F.struct("key", "probe", "hub", "n")).alias("keys"))
     of_text = shared.groupBy(places.key("place").alias("key")).agg(F.collect_list(F.struct(places.number("place").alias("i"), "place", "keys")).alias("items"))
     named_ = "transform(array(split(text, '\\n')), ls -> transform(items, x -> struct(x.place AS place, x.keys AS keys, get(ls, x.i) AS line)))[0]"
     shared = of_text.join(texts, "key").select(F.explode(F.expr(named_)).alias("l")).select("l.*").where("line is not null")
