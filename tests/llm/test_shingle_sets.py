@@ -95,3 +95,54 @@ def test_sets_of_texts_far_apart_are_not_shipped(spark, monkeypatch):
         got = {r.key: r.component for r in similar_documents(df).collect()}
         monkeypatch.undo()
         assert got == {k: k % 60 for k in texts} and 5 <= sum(shipped) <= 10, (n, shipped)
+
+
+def test_groups_to_compare_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """Each passage is in 60 texts that share nothing else: too many to be tried first, also if the corpus is far larger than _LEARNT."""
+    from pyspark.sql import functions as F
+
+    from tidefold.llm import shingle_sets
+
+    rnd = random.Random(7)
+    passages = [" ".join(f"p{rnd.randrange(10**6)}" for _ in range(10)) for _ in range(20)]
+    texts = {k: " ".join([*(f"w{rnd.randrange(10**6)}" for _ in range(30)), passages[k % 20]]) for k in range(1200)}
+    texts |= {1200 + k: texts[k] + " more" for k in range(5)}
+    monkeypatch.setattr(shingle_sets, "_LEARNT", 24)
+    largest = []
+    written = shingle_sets.written
+
+    def seen(df):
+        out = written(df)
+        if "hub" in df.columns:
+            largest.append(out.groupBy("gram").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(shingle_sets, "written", seen)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.key: r.component for r in similar_documents(docs).collect()}
+    assert got == {k: k % 1200 for k in texts} and largest[0] <= 10, largest
+
+
+def test_learns_the_most_frequent_shingles(spark, monkeypatch):
+    from tidefold.llm import shingle_sets
+
+    sets = spark.createDataFrame([([g for g in range(1, 9) if k < g],) for k in range(8)], "grams array<bigint>")
+    as_lists = lambda: [x.tolist() for x in shingle_sets._frequent(sets)]
+    assert as_lists() == [[3, 4, 5, 6, 7, 8]] * 2
+    monkeypatch.setattr(shingle_sets, "_KNOWN", 2)
+    assert as_lists() == [[7, 8]] * 2
+    assert [len(x) for x in shingle_sets._frequent(sets.limit(0))] == [0, 0]
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    from tidefold.llm import components as c
+
+    rnd = random.Random(8)
+    for kind, make in (("bigint", int), ("string", lambda x: f"k{x:03}")):
+        edges = spark.createDataFrame([(make(rnd.randrange(200)), make(rnd.randrange(200))) for _ in range(120)], f"u {kind}, v {kind}")
+        want = {r.node: r.component for r in c.connected_components(edges).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(c, "_large_star", None)
+            got = [tuple(r) for r in c.connected_components(edges, 120).collect()]
+            assert len(got) == len(want) and dict(got) == want and len({*want.values()}) > 3
+            assert c.connected_components(edges.limit(0), 120).collect() == []
