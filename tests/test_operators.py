@@ -178,6 +178,16 @@ def test_query_equals_its_sql(spark, name):
     assert rows[0] == rows[1]
 
 
+@pytest.mark.parametrize("prices", [(10.0, 90.0), (90.0, 10.0)])
+def test_of_snapshots_at_one_time_the_first_wins(spark, tmp_path, prices):
+    with duckdb.connect() as c:
+        c.execute(f"CREATE TABLE orders AS SELECT * FROM (VALUES (5::BIGINT, 1::BIGINT, {prices[0]}::DOUBLE, TIMESTAMP '1996-02-02'), (7, 1, 3.0, '1996-03-03'), (10, 1, {prices[1]}, '1996-02-02')) AS t(o_orderkey, o_custkey, o_totalprice, o_orderdate)")
+        c.execute(f"COPY orders TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+        want = c.execute(SQL["override_state_at"]).df()
+    got = QUERIES["override_state_at"](spark, str(tmp_path)).toPandas()
+    assert got[["sid", "total", "n"]].values.tolist() == want[["sid", "total", "n"]].values.tolist()
+
+
 BIG = 2**53
 
 

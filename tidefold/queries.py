@@ -234,8 +234,8 @@ def reconciliation_capacity(spark, sf_dir):
     "FROM ids LEFT JOIN o ON o.sid = ids.sid LEFT JOIN best ON best.sid = ids.sid GROUP BY ids.sid"
 )
 def override_state_at(spark, sf_dir):
-    # of snapshots at one time any may win: the dates of one customer's fifth orders differ by construction or agree in full
-    best = _snapshots(spark, sf_dir).groupBy("sid", "tm").agg(F.max("total").alias("total"), F.max("n").alias("n"))
+    # of snapshots at one time the first to arrive wins, as in the SQL, which keeps the first row of the greatest time
+    best = _snapshots(spark, sf_dir).groupBy("sid", "tm").agg(F.min_by("total", "arrival").alias("total"), F.min_by("n", "arrival").alias("n"))
     return op.override_at(_twice(spark, sf_dir).where("arrival = id"), best, TWICE, F.expr(AT))
 
 
