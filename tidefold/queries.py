@@ -419,9 +419,9 @@ def _streamed(spark: SparkSession, log: DataFrame, **options) -> DataFrame:
     folder = scratch(spark, "stream")
     middle = log.agg(F.expr("percentile_approx(seq, 0.5, 100)")).first()[0] or 0
     for part in (log.where(F.col("seq") <= middle), log.where(F.col("seq") > middle)):
-        part.repartition(2).write.mode("append").parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
         source = spark.readStream.schema(log.schema).parquet(f"{folder}/in")
-        running = live(source, shards=8, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        running = live(source, **options).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
         running.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
