@@ -214,3 +214,27 @@ def test_shuffle_files_of_what_is_written_are_deleted(spark, monkeypatch):
     monkeypatch.setattr(writer, "parquet", lambda self, path: (seen.append(spark.conf.get(checkpoints._CLEANUP)), parquet(self, path))[1])
     assert checkpoints.written(spark.range(10).repartition(3, "id")).count() == 10
     assert seen == ["true"] and spark.conf.get(checkpoints._CLEANUP) == default
+
+
+def test_buckets_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    """A task's records don't grow with the input, however few partitions the session has; several slices are dealt together."""
+    rows = corpus(5)
+    size = sum(len((t or "").encode()) for _, t in rows)
+    monkeypatch.setattr(pfp_dedup, "_BUCKET", size // 10)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert repeated_substrings(df).rdd.getNumPartitions() == -(-size // (size // 10)) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert run(df) == brute(rows)
+
+
+@pytest.mark.parametrize("dealt", [0, 3000, 1 << 30])
+def test_slices_dealt_together_name_their_own_documents(monkeypatch, dealt):
+    monkeypatch.setattr(pfp_dedup, "_DEALT", dealt)
+    texts = [f"{'common passage of text that all of these documents have ' * 2}{k}" for k in range(9)]
+    batches = [pa.record_batch([pa.array(range(k, k + 3)), pa.array([5, 6, 7], pa.int32()), pa.array(texts[k : k + 3])], ["key", "th", "text"]) for k in (0, 3, 6)]
+    got = list(pfp_dedup._parsed(iter(batches), 1))
+    named = set()
+    for chunk in pfp_dedup._gathered(iter(got)):
+        for columns in chunk.values():
+            named |= set(zip(columns[-2].tolist(), columns[-1].tolist(), strict=True))
+    assert named <= {(k, 5 + k % 3) for k in range(9)} and {k for k, _ in named} == set(range(9))
+    assert dealt or len(got) > 3

@@ -34,6 +34,10 @@ PERIOD = 16
 _SLICE = 1 << 20
 #: Bytes of records looked at together.
 _CHUNK = 4 << 20
+#: Bytes of text whose records a task holds, about: so many buckets there are, or more. The anchors take some 11 times that in a task.
+_BUCKET = 8 << 20
+#: Bytes of records dealt to buckets together: with many buckets, rows of a few records each would cost more than those.
+_DEALT = 8 << 20
 #: Records of one anchor from which its contexts may be dealt by more than the anchor: if they are also more than one
 #: in _MOST_HOT of all, so that no more than _MOST_HOT anchors can be such.
 _HOT = 4096
@@ -186,6 +190,34 @@ def _blob_rows(kind: int, bucket: np.ndarray, columns: list[np.ndarray], doc: np
         yield b, kind, _pack([np.diff(keys, prepend=0), table[names, 1].astype("<i4")]), _pack([*own[:-1], place.astype("<u4")])
 
 
+class _Dealt:
+    """Records of several slices, dealt to buckets together once there are _DEALT bytes of them."""
+
+    def __init__(self) -> None:
+        self.tables: list[np.ndarray] = []
+        self.records: dict[int, list[list[np.ndarray]]] = {}
+        self.docs = self.size = 0
+
+    def table(self, table: np.ndarray) -> None:
+        """The documents (key and text hash) that records added from here on name by their place."""
+        self.docs += len(self.tables[-1]) if self.tables else 0
+        self.tables.append(table)
+
+    def add(self, kind: int, bucket: np.ndarray, columns: list[np.ndarray], doc: np.ndarray) -> None:
+        self.records.setdefault(kind, []).append([bucket, *columns, doc + self.docs])
+        self.size += sum(c.nbytes for c in self.records[kind][-1])
+
+    def emit(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """A batch if there is enough for one."""
+        if self.size < _DEALT and not last:
+            return
+        table = np.concatenate(self.tables) if self.tables else np.empty((0, 2), np.int64)
+        for kind in list(self.records):
+            bucket, *columns, doc = (np.concatenate(c) for c in zip(*self.records.pop(kind), strict=True))
+            yield _emit(list(_blob_rows(kind, bucket, columns, doc, table)))
+        self.tables, self.docs, self.size = self.tables[-1:], 0, 0
+
+
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
     return pa.record_batch([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["bucket", "kind", "docs", "blob"])
@@ -235,9 +267,11 @@ def _in_parts(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.n
 
 def _parsed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Phrases and anchors of each slice, dealt to buckets; copies within the slice are settled here."""
+    dealt = _Dealt()
     for whole in slices(batches, _SLICE, "text"):
         table = _table(_slim(whole, LENGTH)[0])
         key = table[:, 0]
+        dealt.table(table)
         for texts, doc, base, p in _in_parts(whole):
             pp = p.piece[p.head]
             pd = doc[pp]
@@ -247,13 +281,14 @@ def _parsed(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
             least = np.empty(len(order), np.int64)
             least[order] = _least((one[order], two[order]), key[pd][order])
             late = key[pd] > least
-            rows = list(_blob_rows(_DIRECT, pd[late] % buckets, [start[late].astype("<u4"), end[late].astype("<u4")], pd[late], table))
+            dealt.add(_DIRECT, pd[late] % buckets, [start[late].astype("<u4"), end[late].astype("<u4")], pd[late])
             own = ~late
-            rows += _blob_rows(_PHRASES, (one[own] % np.uint64(buckets)).astype(np.int64), [one[own], two[own], start[own].astype("<u4"), end[own].astype("<u4")], pd[own], table)
+            dealt.add(_PHRASES, (one[own] % np.uint64(buckets)).astype(np.int64), [one[own], two[own], start[own].astype("<u4"), end[own].astype("<u4")], pd[own])
             keep = own[p.phrase]
             h, tag = p.hash[keep], p.context_tags(texts, keep)
-            rows += _blob_rows(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), tag, p.left[keep].astype("<u2"), p.right[keep].astype("<u2")], doc[p.piece[keep]], table)
-            yield _emit(rows)
+            dealt.add(_ANCHORS, (h % np.uint64(buckets)).astype(np.int64), [(h >> np.uint64(16) & _LOW).astype("<u4"), (h >> np.uint64(48)).astype("<u2"), tag, p.left[keep].astype("<u2"), p.right[keep].astype("<u2")], doc[p.piece[keep]])
+            yield from dealt.emit()
+    yield from dealt.emit(last=True)
     trim()
 
 
@@ -397,9 +432,11 @@ def _halves(context: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[n
 def _contexts(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The bytes around every shared anchor, dealt to buckets by the anchor (hot ones by more); settled ones become spans."""
     left, size = LENGTH - ANCHOR, 2 * LENGTH - ANCHOR
+    out = _Dealt()
     for whole in slices(batches, _SLICE, "text"):
         b, _ = _slim(whole, LENGTH)
-        lists, table = b.column("anchors"), _table(b)
+        lists = b.column("anchors")
+        out.table(_table(b))
         rows_of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
         values, value_tags = (lists.flatten().field(k).to_numpy().astype(np.int64) for k in (0, 1))
         done = values >= _SETTLED
@@ -418,7 +455,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray)
             a = hit[~joined]
             z = hit[np.append(np.flatnonzero(~joined)[1:], len(hit)) - 1] if len(hit) else hit
             start = base[p.piece]
-            rows = list(_blob_rows(_DIRECT, row[a] % buckets, [(start[a] + p.first[a]).astype("<u4"), (start[a] + p.last[z] + LENGTH).astype("<u4")], row[a], table))
+            out.add(_DIRECT, row[a] % buckets, [(start[a] + p.first[a]).astype("<u4"), (start[a] + p.last[z] + LENGTH).astype("<u4")], row[a])
             keep = np.flatnonzero(_among(row, own, asked) & ~settled)
             data = np.frombuffer(bytes(left) + b"".join(texts) + bytes(size), np.uint8)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -437,8 +474,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray)
                 place = np.arange(size)
                 for digest, w, lo_, hi_ in dealt:
                     bytes_ = context[w] * ((place >= lo_[:, None]) & (place < hi_[:, None] + LENGTH))  # zeros for bytes of no window: they compress
-                    rows += _blob_rows(_CONTEXTS, (digest % np.uint64(buckets)).astype(np.int64), [bytes_.view(f"S{size}").ravel(), (start[part][w] + at[w]).astype("<u4"), lo_.astype("u1"), hi_.astype("u1")], d[w], table)
-            yield _emit(rows)
+                    out.add(_CONTEXTS, (digest % np.uint64(buckets)).astype(np.int64), [bytes_.view(f"S{size}").ravel(), (start[part][w] + at[w]).astype("<u4"), lo_.astype("u1"), hi_.astype("u1")], d[w])
+                yield from out.emit()
+    yield from out.emit(last=True)
     trim()
 
 
@@ -560,6 +598,11 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column("key"), b.column("text"), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.binary()), pa.array(out[3])], ["key", "text", "starts", "ends", "kept", "kept_sha256"])
 
 
+def buckets_of(size: int | None) -> int:
+    """Buckets for so many bytes of text, however few partitions the session has: a task's records don't grow with the input."""
+    return max(1, -(-(size or 0) // _BUCKET))
+
+
 def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """(key, text, starts, ends, kept, kept_sha256): every byte covered by a LENGTH-byte string that also starts in a
     document with a smaller key is cut out; starts and ends are the removed runs, `kept` the bytes that remain.
@@ -572,8 +615,8 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
     The contexts of hot anchors (at most _MOST_HOT, known to all tasks) are dealt by half a window's bytes more.
     """
     spark = docs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = text_of(docs, text)
+    parts = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets_of(docs.select(F.sum(F.octet_length(data))).first()[0]))
     # rows are known by key and a hash of text, neither ever null, so that both joins find the texts dealt alike
     missing = docs[key].isNull()
     read = docs.select(docs[key].cast("bigint").alias("key"), F.coalesce(docs[key].cast("bigint"), F.lit(0)).alias("k"), F.hash(data, missing).alias("th"), data.alias("text"))
@@ -586,10 +629,10 @@ def repeated_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text"
         least = max(_HOT, asking.count() // _MOST_HOT)
         hot = np.sort(found.where(is_hot & (F.col("tag") >= least)).select("value").toPandas()["value"].to_numpy(np.int64) ^ _BUSY)
     texts = read.repartition(parts, "k", "th")
-    anchors = asking.groupBy("k", "th").agg(F.collect_set(F.struct("value", "tag")).alias("anchors"))
+    anchors = asking.repartition(parts, "k", "th").groupBy("k", "th").agg(F.collect_set(F.struct("value", "tag")).alias("anchors"))
     asked = texts.join(anchors, ["k", "th"]).select("key", "th", "text", "anchors")  # the same columns as below: dealt once
     around = asked.mapInArrow(lambda it: _contexts(it, parts, hot), _ROWS).repartitionById(parts, F.col("bucket"))
     spans = around.mapInArrow(_repeats, _FOUND).unionAll(found.where("value < 0")).select("k", "th", "value")
-    spans = spans.groupBy("k", "th").agg(F.collect_set("value").alias("spans"))
+    spans = spans.repartition(parts, "k", "th").groupBy("k", "th").agg(F.collect_set("value").alias("spans"))
     cut = texts.join(spans, ["k", "th"], "left").select("key", "text", "spans")
     return cut.mapInArrow(_removed, "key bigint, text string, starts array<bigint>, ends array<bigint>, kept binary, kept_sha256 string")
